@@ -75,8 +75,16 @@ def crc_mod3(doc_id) -> "F.Column":
     return F.crc32(doc_id.cast("string")) % 3
 
 
-def hashed(*columns) -> "F.Column":
-    return F.xxhash64(*columns)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int) -> DataFrame:
+    """(doc_id, text, y) of at most `most` labelled documents whose crc_mod3 is not 1, chosen by a hash of doc_id.
+
+    A doc_id with several labels counts as 1 if any is 1; one with several texts gives its largest. Null ids and labels are left out.
+    """
+    rows = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y is not null")
+    rows = rows.where(crc_mod3(F.col("id")) != 1).groupBy("id").agg(F.max("y").alias("y"))
+    chosen = rows.orderBy(F.xxhash64("id"), "id").limit(most)  # at most `most` small rows: a proven bound for the broadcast
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    return texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("id")).select("doc_id", "text", "y")
 
 
 # ---- words and shingles, many documents at a time ----
@@ -106,11 +114,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def blocks(texts: list[str | None], most: int = 1 << 20):
-    """Groups of neighbouring texts of about `most` bytes, lower-cased in ASCII, as (first index, list of bytes)."""
+def blocks(texts: list[str | None], most: int = 1 << 20, lower: bool = True):
+    """Groups of neighbouring texts of about `most` bytes, lower-cased in ASCII if asked, as (first index, list of bytes)."""
     part, size, first = [], 0, 0
     for i, text in enumerate(texts):
-        raw = (text or "").encode("utf-8", "surrogatepass").lower()
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        raw = raw.lower() if lower else raw
         if part and size + len(raw) > most:
             yield first, part
             part, size, first = [], 0, i

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from docspark.llm import near_dedup
+from docspark.llm import near_dedup, quality, toxicity
 from docspark.llm.common import table
 
 
@@ -10,6 +10,16 @@ def op2_minhash_near_dedup(spark, sf_dir):
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op1_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
+def op10_quality_classifier(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
+
+
 def queries():
     found = {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
     found["pipeline"] = pipeline
