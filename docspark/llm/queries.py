@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from docspark.llm import near_dedup, quality, toxicity
+import public_tokenizers
+
+from docspark.llm import near_dedup, piece, quality, toxicity
 from docspark.llm.common import table
 
 
@@ -15,6 +17,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op8_sentencepiece(spark, sf_dir):
+    return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
