@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docspark.llm import near_dedup, piece, quality, toxicity
+from docspark.llm import licenses, near_dedup, piece, quality, records, token_counts, toxicity, url_filter
 from docspark.llm.common import table
 
 
@@ -17,10 +17,26 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op4_license_scans(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark, sf_dir):
+    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_token_records(spark, sf_dir):
+    return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op9_url_filters(spark, sf_dir):
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_quality_classifier(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
@@ -57,5 +73,20 @@ FROM s JOIN (SELECT u, min(v) AS c FROM reach GROUP BY u) m ON m.u = s.doc_id
 """
 
 
+OP9_SQL = r"""
+WITH r(rule, rhost, rpath, verdict) AS (VALUES
+  ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'),
+  ('www.example.com/en/', 'www.example.com', '/en/', 'allow'), ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')),
+p AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM p)
+SELECT page_id, host, path, max_by(rule, length(rule)) AS rule, coalesce(max_by(verdict, length(rule)), 'allow') AS verdict
+FROM h LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+GROUP BY page_id, host, path
+"""
+
+
 def oracle_sql():
-    return {"op2_minhash_near_dedup": OP2_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op9_url_filters": OP9_SQL}
