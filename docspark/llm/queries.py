@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from docspark.llm import licenses, near_dedup, piece, quality, records, token_counts, toxicity, url_filter
+from docspark.llm import decontam, licenses, merkle, near_dedup, piece, quality, records, token_counts, toxicity, url_filter
 from docspark.llm.common import table
 
 
@@ -17,6 +17,10 @@ def op1_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_benchmark_decontamination(spark, sf_dir):
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_license_scans(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -29,6 +33,10 @@ def op6_token_records(spark, sf_dir):
     return records.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_document_fingerprints(spark, sf_dir):
+    return merkle.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_sentencepiece(spark, sf_dir):
     return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
