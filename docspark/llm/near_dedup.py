@@ -1,8 +1,9 @@
 """Near-duplicate groups by SetSketch: banded registers, a joint likelihood estimate, then exact sets.
 
-A sketch has 128 registers. Register i holds the exponentially spaced, truncated minimum of the i-th exponential hash over a
+A sketch has 224 registers. Register i holds the exponentially spaced, truncated minimum of the i-th exponential hash over a
 document's shingles: K = floor(1 - log_b(min)), held to 0..q+1. Sketches of parts merge by the registers' maximum. Documents that
-agree on all four registers of a band share a bucket. In each bucket a hub, the member with most company over all buckets, is
+agree on all eight registers of a band share a bucket; there are 112 bands, each register being in four, so that a pair at
+similarity 0.75 misses all bands once in 100,000 times while pairs below 0.5 rarely meet. In each bucket a hub, the member with most company over all buckets, is
 tried against the members of other groups; hubs multiply from round to round until no bucket holds members of two groups that
 were not tried. So a group of n copies costs about n trials, never n squared, while no pair of a bucket is dropped.
 """
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from docspark.llm.common import Scratch, blocks, mix, shingle_hashes, small_batches
 from docspark.llm.components import components
 
-REGISTERS, ROWS = 128, 4
+REGISTERS, ROWS, BANDS = 224, 8, 112
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A pair goes before its sets are compared only if its likelihood at the threshold is e^12 times less than at its best value.
 DOUBT = 12.0
@@ -29,6 +30,10 @@ BROADCAST_IDS = 500_000
 _odd = np.random.default_rng(20240601).integers(0, 2**63, REGISTERS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+#: The registers of each band: four shuffles of all registers, cut in eights.
+_bands = np.concatenate([np.random.default_rng(k).permutation(REGISTERS).reshape(-1, ROWS) for k in range(BANDS * ROWS // REGISTERS)])
+
+
 def registers_of(least: np.ndarray) -> np.ndarray:
     """Least uniform values (as 64-bit integers) -> registers."""
     minimum = -np.log1p(-(least.astype(np.float64) + 0.5) * 2.0**-64) / RATE
@@ -57,8 +62,9 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def band_keys(sketch: np.ndarray) -> np.ndarray:
     """Sketches -> a 64-bit key for each band."""
-    packed = np.ascontiguousarray(sketch).view(np.uint64).astype(np.uint64)  # four registers of 16 bits
-    return mix(packed ^ mix(np.arange(1, packed.shape[1] + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))).view(np.int64)
+    packed = np.ascontiguousarray(sketch[:, _bands]).view(np.uint64)  # two words of four registers of 16 bits
+    salt = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(mix(packed[..., 0] ^ salt) + packed[..., 1]).view(np.int64)
 
 
 def log_likelihood(j: np.ndarray, u: np.ndarray, larger: np.ndarray, less: np.ndarray, equal: np.ndarray) -> np.ndarray:
@@ -160,7 +166,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     known = rows.where("doc_id is not null and n_shingles > 0")
     reps = scratch.keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "sketch")).alias("s")).select("set_key", "id", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "reps")
 
-    keys = reps.select("id", "sketch").mapInArrow(_band_batches, "key long, id long").distinct()
+    keys = reps.select("id", "sketch").mapInArrow(_band_batches, "key long, id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     members = scratch.keep(keys.join(shared, "key", "left_semi"), "members")
     company = members.join(members.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("company"))
@@ -172,8 +178,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = scratch.keep(chosen.where(F.length("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
     facts = reps.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
 
-    pending, comps, tried = members.join(ids, "id"), None, None
-    links_so_far, hubs_a_key, turn = None, 1, 0
+    pending, comps, hubs_a_key, turn = members.join(ids, "id"), None, 1, 0
     while True:
         if comps is None:
             pending = scratch.keep(pending.withColumn("comp", F.col("id")), f"pending-{turn}")
@@ -186,13 +191,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         salt = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(hubs_a_key))
         hubs = scratch.keep(pending.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("company", -F.col("id"), "comp")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.comp").alias("hub_comp")), f"hubs-{turn}")
         pairs = pending.join(hubs, "key").where("id <> hub and comp <> hub_comp").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["u", "v"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{turn}")
-        tried = pairs if tried is None else tried.union(pairs)
         maybe = _pairs_with(pairs, facts, {"sketch": ("ka", "kb"), "n": ("na", "nb")}).select("u", "v", "ka", "kb", "na", "nb").mapInArrow(_likely_batches(percent), "u long, v long")
         links = scratch.keep(_pairs_with(maybe, sets, {"shingles": ("sa", "sb")}).select("u", "v", "sa", "sb").mapInArrow(_verified_batches(percent), "u long, v long"), f"links-{turn}")
-        links_so_far = links if links_so_far is None else links_so_far.union(links)
         known_stars = links if comps is None else links.union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
         comps = components(known_stars, scratch, f"comps-{turn}")
         pending = pending.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
@@ -211,5 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs without the rows whose near-duplicate group has a smaller doc_id; all columns stay. Repeated kept rows stay repeated."""
-    gone = near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    scratch = Scratch(docs.sparkSession, "near")
+    gone = scratch.keep(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
