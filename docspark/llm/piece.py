@@ -29,6 +29,7 @@ class Encoder:
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
+        self.path = path
         model = pb.ModelProto()
         with open(path, "rb") as f:
             model.ParseFromString(f.read())
@@ -186,12 +187,14 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def remembered(made: Encoder) -> Encoder:
+    """In a worker: the process's own encoder for this model, with what it remembers; the tables come with the task."""
+    return _encoders.setdefault(made.path, made)
+
+
 def _digest_batches(made: Encoder):
     def run(batches):
-        # The tables come from the driver; what a worker remembers stays with the worker.
-        enc = _encoders.setdefault("worker", made)
-        if enc.ids != made.ids:
-            enc = _encoders["worker"] = made
+        enc = remembered(made)
         known, segment = enc.known, enc.segment
         end = str(enc.end)
         for batch in batches:
@@ -209,8 +212,9 @@ def _digest_batches(made: Encoder):
 
 def _id_batches(made: Encoder):
     def run(batches):
+        enc = remembered(made)
         for batch in batches:
-            ids = [[*made.encode(t), made.end] for t in batch.column("text").to_pylist()]
+            ids = [[*enc.encode(t), enc.end] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
