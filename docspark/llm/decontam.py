@@ -22,6 +22,8 @@ from docspark.llm.common import Scratch
 RADIUS, SHINGLE = 23, 5
 #: Most shingles of items in one broadcast (about 100 bytes each with the index); more items go through in several passes.
 BROADCAST_SHINGLES = 500_000
+#: Shingles of a text that stand in one row while they are looked up.
+PIECE = 1024
 
 _WORD = r"[\p{L}\p{N}]+"
 
@@ -96,7 +98,6 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
     sized = reduce(DataFrame.unionByName, (items.where(F.col("k") == k).select("item_id", "k", shingles(F.col("w"), k).alias("hashes")) for k in range(1, SHINGLE + 1)))
     sized = scratch.keep(sized.withColumn("m", F.size("hashes")), "items")
     total, most, *short = sized.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.max("m"), F.lit(0)), *(F.count_if(F.col("k") == k) for k in range(1, SHINGLE))).first()
-    planes = max(1, int(most).bit_length())
     passes = -(-total // BROADCAST_SHINGLES)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("w"))
     found = []
@@ -104,23 +105,33 @@ def matches(docs: DataFrame, items: DataFrame, percent: int = 75) -> DataFrame:
         runs = texts.select("doc_id", shingles(F.col("w"), k).alias("all"))
         for turn in range(passes):
             part = sized.where((F.col("k") == k) & (F.pmod(F.xxhash64("item_id", "hashes"), F.lit(passes)) == turn))
-            found.append(_found(runs, part, planes, percent))
+            found.append(_found(runs, part, int(most), percent))
     empty = spark.createDataFrame([], "doc_id long, item_id long, start int, shared int, similarity double")
     rows = reduce(DataFrame.unionByName, found, empty)
     best = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", "shared", -F.col("start"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.col3")).alias("start"), "b.shared", "b.similarity")
 
 
-def _found(runs: DataFrame, items: DataFrame, planes: int, percent: int) -> DataFrame:
-    """items: a part whose size is bounded by BROADCAST_SHINGLES."""
+def _found(runs: DataFrame, items: DataFrame, longest: int, percent: int) -> DataFrame:
+    """items: a part whose size is bounded by BROADCAST_SHINGLES; longest: most shingles in an item."""
+    planes = max(1, longest.bit_length())
     seeds = items.select("m", F.explode("hashes").alias("h")).distinct()
-    index = items.select("item_id", F.col("m").alias("item_m"), F.col("hashes").alias("item"), simhash(F.col("hashes"), planes).alias("item_print"))
+    index = items.select("item_id", F.col("m").alias("item_m"), F.col("hashes").alias("item"), F.coalesce(simhash(F.col("hashes"), planes), F.lit(0).cast("long")).alias("item_print"))
     index = index.select("*", F.posexplode(blocks(F.col("item_print"))).alias("block", "value"))
-    # The outer form keeps the optimiser from testing the size of "all" below, where it would make the array anew for each element.
-    hits = runs.select("doc_id", "all", F.posexplode_outer("all").alias("p", "h")).join(F.broadcast(seeds), "h")
-    start = F.least(F.col("p"), F.greatest(F.size("all") - F.col("m"), F.lit(0)))
-    windows = hits.select("doc_id", "m", start.alias("start"), F.slice("all", start + 1, F.col("m")).alias("window"))
-    prints = windows.withColumn("print", simhash(F.col("window"), planes))
+    # Hashes come in pieces of bounded length with as much around them as a window needs, so that a long text costs no more for
+    # each word than a short one. The outer forms keep the optimiser from testing sizes below, where it would make the arrays anew
+    # for each element; so does the coalesce further down.
+    first = F.greatest(F.col("piece.at") - longest, F.lit(0))
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size("all") - 1, F.lit(0)), F.lit(PIECE)),
+        lambda at: F.struct(at.alias("at"), F.slice("all", at + 1, PIECE).alias("own"), F.slice("all", F.greatest(at - longest, F.lit(0)) + 1, PIECE + 2 * longest).alias("around")),
+    )
+    cut = runs.select("doc_id", F.size("all").alias("n"), F.explode_outer(pieces).alias("piece"))
+    cut = cut.select("doc_id", "n", F.col("piece.at").alias("at"), first.alias("first"), F.col("piece.own").alias("own"), F.col("piece.around").alias("around"))
+    hits = cut.select("doc_id", "n", "at", "first", "around", F.posexplode_outer("own").alias("i", "h")).join(F.broadcast(seeds), "h")
+    start = F.least(F.col("at") + F.col("i"), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
+    windows = hits.select("doc_id", "m", start.alias("start"), F.slice("around", start - F.col("first") + 1, F.col("m")).alias("window"))
+    prints = windows.withColumn("print", F.coalesce(simhash(F.col("window"), planes), F.lit(0).cast("long")))
     looked = prints.select("*", F.posexplode(blocks(F.col("print"))).alias("b", "v"))
     near = looked.join(F.broadcast(index), (looked.m == index.item_m) & (looked.b == index.block) & (looked.v == index.value))
     differs = F.col("print").bitwiseXOR(F.col("item_print"))
