@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 
-import numpy as np
 import regex
 
-#: Words and parts of words a worker remembers at most.
-REMEMBERED = 500_000
+#: Words, and parts of words, that a worker remembers at most.
+REMEMBERED, REMEMBERED_PARTS = 800_000, 1_000_000
 #: Fixed value: the pre-tokenizer's pattern.
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Words in which all versions of Unicode agree on letters, digits and white space.
@@ -22,12 +22,12 @@ _PLAIN = re.compile(r"[!-~\n¡-ɏ]+")
 
 
 class _Known(dict):
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most=REMEMBERED):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < REMEMBERED:
+        if len(self) < self.most:
             self[key] = value
         return value
 
@@ -54,11 +54,12 @@ class ByteBpe:
         self.simple = told["normalizer"] is None and steps["type"] == "ByteLevel" and not steps["add_prefix_space"] and not told["truncation"] and not told["padding"]
         self.specials = [] if plain_specials else [t["content"] for t in told["added_tokens"]]
         self.vocabulary = self.library.get_vocab_size()
-        self.width = 2 if self.vocabulary <= 1 << 16 else 4
-        self.parts, self.first, self.later = _Known(self._whole), _Known(lambda w: self._word(w, w)), _Known(lambda w: self._word(w, " " + w))
+        self.width, self.code = (2, "H") if self.vocabulary <= 1 << 16 else (4, "I")
+        self.parts, self.first, self.later = _Known(self._whole, REMEMBERED_PARTS), _Known(lambda w: self._word(w, w)), _Known(lambda w: self._word(w, " " + w))
 
     def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+        ids = self.library.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _word(self, word: str, led: str) -> bytes:
         if not word or word[0].isspace() or word[-1].isspace():
@@ -69,9 +70,9 @@ class ByteBpe:
         if not text:
             return b""
         if self.simple and not any(s in text for s in self.specials):
-            words = text.split(" ")
+            words = iter(text.split(" "))
             try:
-                return self.first[words[0]] + b"".join(map(self.later.__getitem__, words[1:]))
+                return self.first[next(words)] + b"".join(map(self.later.__getitem__, words))
             except _Irregular:
                 pass
         return self._whole(text)
