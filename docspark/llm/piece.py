@@ -96,7 +96,7 @@ class Encoder:
                 limit, b = b + 1, right[0]
             else:
                 break
-        if len(self.stable) < 4 * REMEMBERED:
+        if len(self.stable) < REMEMBERED // 2:
             self.stable[key] = fits
         return fits
 
@@ -124,16 +124,17 @@ class Encoder:
                 at -= n
         return out[::-1]
 
-    def segment(self, text: str) -> tuple[str, int, str, tuple[int, ...]]:
-        """Ids as text, their number, the decoded text, the ids."""
+    def segment(self, text: str) -> tuple[str, int, str]:
+        """Ids as text, their number, the decoded text."""
         known = self.known.get(text)
         if known is None:
             cuts = [k for k in range(1, len(text)) if (text[k - 1], text[k]) not in self.pairs]
             if cuts:
-                ids = [i for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True) for i in self.segment(text[a:b])[3]]
+                parts = [self.segment(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
+                known = " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts])
             else:
                 ids = self.table(text)
-            known = " ".join(map(str, ids)), len(ids), self.plain(ids), tuple(ids)
+                known = " ".join(map(str, ids)), len(ids), self.plain(ids)
             if len(self.known) < REMEMBERED and len(text) <= LONGEST:
                 self.known[text] = known
         return known
@@ -155,7 +156,7 @@ class Encoder:
         return out + ([run] if run else [])
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for s in self.segments(text) for i in self.segment(s)[3]] if text else []
+        return [int(i) for s in self.segments(text) for i in self.segment(s)[0].split()] if text else []
 
     def plain(self, ids: list[int]) -> str:
         """Pieces and bytes as text, with spaces for marks; control ids are silent."""
