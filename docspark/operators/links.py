@@ -147,3 +147,49 @@ def redirect_note(source: Column, final: Column, file: Column) -> Column:
     """The file that stands in for a redirected page."""
     name = P.stem(file)
     return F.concat_ws("\n", F.lit("---"), F.concat(F.lit("url: "), source), F.concat(F.lit("redirect_to: "), final), F.lit("---"), F.lit(""), F.concat(F.lit("This page has moved to [["), name, F.lit("]].")), F.lit(""))
+
+
+def canonical_files(starts: DataFrame, redirects: DataFrame, files: DataFrame) -> DataFrame:
+    """starts(url), files(url, file_path) -> url, file_path of the page at the end of its redirects; null if none is known."""
+    ends = redirect_closure(starts, redirects)
+    known = files.where("file_path is not null").groupBy(trimmed(F.col("url")).alias("_k")).agg(F.max("file_path").alias("file_path"))
+    return ends.withColumn("_k", trimmed(F.col("final"))).join(known, "_k", "left").select("url", "final", "file_path")
+
+
+def already_done(fetched: DataFrame, pages: DataFrame) -> DataFrame:
+    """Rows of fetched(url, final_url, ...) whose final URL is another page that is completed already."""
+    done = pages.where("status = 'completed'").select(trimmed(F.col("url")).alias("_done")).distinct()
+    return fetched.where(trimmed(F.col("url")) != trimmed(F.col("final_url"))).join(done, trimmed(F.col("final_url")) == F.col("_done"), "left_semi")
+
+
+def with_metadata(pages: DataFrame, nodes: DataFrame) -> DataFrame:
+    """pages with title and description of the hierarchy's node at their URL, empty where there is none."""
+    last = nodes.groupBy(trimmed(F.col("url")).alias("_k")).agg(F.max_by(F.struct("title", "description"), "ordinal").alias("_n"))
+    joined = pages.withColumn("_k", trimmed(F.col("url"))).join(last, "_k", "left")
+    return joined.withColumns({"title": F.coalesce("_n.title", F.lit("")), "description": F.coalesce("_n.description", F.lit(""))}).drop("_k", "_n")
+
+
+def verified(targets: DataFrame, checks: DataFrame, pages: DataFrame, base: str) -> DataFrame:
+    """targets(target) that no page's name fits -> target, file: of four URLs, below docs and resources with and without a slash, the
+    first that checks(url, final_url) found alive and whose final URL has a page."""
+    base = base.rstrip("/")
+    urls = F.array(*(F.concat(F.lit(f"{base}/{folder}/"), F.col("target"), F.lit(end)) for folder in ("docs", "resources") for end in ("/", "")))
+    tries = targets.select("target").distinct().select("target", F.posexplode(urls).alias("rank", "url"))
+    alive = tries.join(checks.where("final_url is not null"), "url").withColumn("_key", trimmed(F.col("final_url")))
+    return alive.join(_last(url_map(pages), "_key", "_file", "file"), "_key").groupBy("target").agg(F.min_by("file", "rank").alias("file"))
+
+
+def reachable(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """Breadth first: starts(url), edges(parent_url, url) -> url, depth, each URL once at its least depth, down to `depth`.
+
+    Each turn joins the newest URLs with the edges and leaves out what is known; it ends when nothing is new.
+    """
+    known = cut(starts.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)))
+    newest, all_of = known, [known]
+    for d in range(1, depth + 1):
+        found = newest.select(F.col("url").alias("parent_url")).join(edges, "parent_url").select("url").distinct()
+        newest = cut(found.join(reduce(DataFrame.union, all_of).select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
+        if newest.isEmpty():
+            break
+        all_of.append(newest)
+    return reduce(DataFrame.union, all_of)

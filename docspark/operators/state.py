@@ -104,3 +104,23 @@ def http_action(status: Column, retry_after: Column) -> Column:
         F.when(status.isin(429, 503), F.lit("retry")).when(status >= 400, F.lit("empty")).otherwise(F.lit("parse")).alias("action"),
         F.when(status == 429, F.coalesce(retry_after, F.lit(60))).when(status == 503, F.lit(30)).otherwise(F.lit(0)).alias("wait"),
     )
+
+
+def fold_images(images: DataFrame, events: DataFrame) -> DataFrame:
+    """images(url, page_url, local_path, downloaded, error_message) after events(url, seq, local_path, downloaded, error_message)."""
+    folded = events.groupBy("url").agg(F.max_by(F.struct("downloaded", "local_path", "error_message"), "seq").alias("_e"))
+    changes = {c: F.when(F.col("_e").isNotNull(), F.col(f"_e.{c}")).otherwise(F.col(c)) for c in ("downloaded", "local_path", "error_message")}
+    return images.join(folded, "url", "left").withColumns(changes).select(images.columns)
+
+
+def orphans(images: DataFrame, pages: DataFrame) -> DataFrame:
+    """Images whose page is not known."""
+    return images.join(pages.select(F.col("url").alias("page_url")), "page_url", "left_anti")
+
+
+def finished_run(runs: DataFrame, run_id: int, statistics: DataFrame, now: Column) -> DataFrame:
+    """runs with one run's figures and its end set."""
+    names = ("pages_total", "pages_completed", "pages_failed", "images_total", "images_downloaded")
+    one = statistics.select(*(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"_{c}") for c in names))
+    own = F.col("id") == run_id
+    return runs.join(F.broadcast(one), F.lit(True)).withColumns({c: F.when(own, F.col(f"_{c}")).otherwise(F.col(c)) for c in names} | {"completed_at": F.when(own, now).otherwise(F.col("completed_at"))}).select(runs.columns)
