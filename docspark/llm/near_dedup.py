@@ -4,8 +4,9 @@ A sketch has 224 registers. Register i holds the exponentially spaced, truncated
 document's shingles: K = floor(1 - log_b(min)), held to 0..q+1. Sketches of parts merge by the registers' maximum. Documents that
 agree on all eight registers of a band share a bucket; there are 112 bands, each register being in four, so that a pair at
 similarity 0.75 misses all bands once in 100,000 times while pairs below 0.5 rarely meet. In each bucket a hub, the member with most company over all buckets, is
-tried against the members of other groups; hubs multiply from round to round until no bucket holds members of two groups that
-were not tried. So a group of n copies costs about n trials, never n squared, while no pair of a bucket is dropped.
+tried against all other members, so that a group of n copies costs about n trials. Buckets that then still hold members of several
+groups are swept: their members meet in blocks of BLOCK sketches, compared as matrices within a task; what is likely and not yet of
+one group is compared by sets, there and then if these are small. No pair of a bucket is dropped.
 """
 
 from __future__ import annotations
@@ -24,6 +25,10 @@ REGISTERS, ROWS, BANDS = 224, 8, 112
 BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 #: A pair goes before its sets are compared only if its likelihood at the threshold is e^12 times less than at its best value.
 DOUBT = 12.0
+#: Members of a block in the sweep, and the largest sets that travel with them.
+BLOCK, SMALL = 512, 512
+#: Registers that pairs at the threshold share at least, but for once in ten million times.
+LEAST_EQUAL = 130
 #: As many document ids at most are broadcast (8 bytes each and their table); beyond that, joins shuffle.
 BROADCAST_IDS = 500_000
 
@@ -134,9 +139,7 @@ def _verified_batches(percent: int):
         for batch in batches:
             good = []
             for a, b in zip(batch.column("sa"), batch.column("sb"), strict=True):
-                x, y = (np.frombuffer(s.as_buffer(), np.uint64) for s in (a, b))
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(is_link(a.as_buffer(), b.as_buffer(), percent))
             yield pa.RecordBatch.from_arrays([batch.column("u"), batch.column("v")], ["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     return run
@@ -149,6 +152,102 @@ def _pairs_with(pairs: DataFrame, side: DataFrame, columns: dict[str, tuple[str,
     return pairs
 
 
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    return _pairs_with(pairs, sets, {"shingles": ("sa", "sb")}).select("u", "v", "sa", "sb").mapInArrow(_verified_batches(percent), "u long, v long")
+
+
+def _swept(pending: DataFrame, facts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """pending(key, id, comp, size) -> pairs (u, v, sure) of different groups that share a bucket: links, and for larger sets likely
+    pairs that are still to be verified.
+
+    A bucket of more than BLOCK members is dealt to blocks by a hash of the id. A row goes once to each pair of blocks that holds
+    its own; a pair of blocks is a group of some 2 * BLOCK rows, however large the bucket. Sets of up to SMALL shingles travel along.
+    """
+    blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
+    small = sets.where(F.length("shingles") <= 8 * SMALL)
+    rows = pending.join(facts, "id").join(small, "id", "left")
+    rows = rows.select("key", "id", "comp", "n", "sketch", "shingles", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("own"))
+    others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = rows.withColumn("other", F.explode(others)).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
+    return dealt.select(*_SWEPT, "sketch", "shingles").mapInArrow(_sweep_batches(percent), "u long, v long, sure boolean")
+
+
+_SWEPT = ("key", "lo", "hi", "own", "id", "comp", "n")
+
+
+def _sweep_batches(percent: int):
+    def run(batches):
+        held, found, waiting = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy() for c in _SWEPT] + [np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint16).reshape(-1, REGISTERS), np.array(batch.column("shingles").to_pylist(), object)]
+            held = new if held is None else [np.concatenate([a, b]) for a, b in zip(held, new, strict=True)]
+            cuts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
+            # The last group may go on in the next batch.
+            for a, b in zip([0, *cuts[:-1]], cuts, strict=len(cuts) > 0):
+                found += close_pairs([x[a:b] for x in held], percent)
+                waiting += len(found[-1][0]) if found else 0
+                if waiting > 4096:
+                    yield settle(found, percent)
+                    found, waiting = [], 0
+            if len(cuts):
+                held = [x[cuts[-1] :] for x in held]
+        if held is not None:
+            found += close_pairs(held, percent)
+        yield settle(found, percent)
+
+    return run
+
+
+def close_pairs(group: list[np.ndarray], percent: int) -> list[list[np.ndarray]]:
+    """Pairs of a group of rows that may be links by their sizes and numbers of equal registers: (ids, sizes, sketches, shingles) of
+    both ends."""
+    _, lo, hi, own, ids, comps, sizes, sketch, sets = group
+    if (comps == comps[0]).all():
+        return []
+    left, right = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
+    out = []
+    step = max(1, 200_000 // max(1, len(right)))
+    for at in range(0, len(left), step):
+        some = left[at : at + step]
+        fits = (comps[some][:, None] != comps[right]) & (100 * np.minimum(sizes[some][:, None], sizes[right]) >= percent * np.maximum(sizes[some][:, None], sizes[right]))
+        if lo[0] == hi[0]:  # within a block each pair once, between blocks all
+            fits &= some[:, None] < right
+        i, j = np.nonzero(fits)
+        for a in range(0, len(i), 20_000):
+            x, y = some[i[a : a + 20_000]], right[j[a : a + 20_000]]
+            good = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
+            x, y = x[good], y[good]
+            if len(x):
+                out.append([ids[x], ids[y], sizes[x], sizes[y], sketch[x], sketch[y], sets[x], sets[y]])
+    return out
+
+
+def settle(found: list[list[np.ndarray]], percent: int) -> pa.RecordBatch:
+    """Links among close pairs whose sets are at hand, and the likely ones of the others."""
+    us, vs, sure, seen = [], [], [], set()
+    for ia, ib, na, nb, ka, kb, sa, sb in found:
+        good = likely(ka, kb, na.astype(float), nb.astype(float), percent)
+        for u, v, a, b in zip(np.maximum(ia, ib)[good].tolist(), np.minimum(ia, ib)[good].tolist(), sa[good], sb[good], strict=True):
+            if (u, v) in seen:
+                continue
+            seen.add((u, v))
+            if a is None or b is None or is_link(a, b, percent):
+                us.append(u)
+                vs.append(v)
+                sure.append(a is not None and b is not None)
+    return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
+
+
+def is_link(a: bytes, b: bytes, percent: int) -> bool:
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    both = np.sort(np.concatenate([x, y]))
+    both = int((both[1:] == both[:-1]).sum())
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs(doc_id long, text string, ...) -> doc_id, n_shingles, component_id, kept: one row for each input row.
 
@@ -178,25 +277,20 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     sets = scratch.keep(chosen.where(F.length("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
     facts = reps.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
 
-    pending, comps, hubs_a_key, turn = members.join(ids, "id"), None, 1, 0
-    while True:
-        if comps is None:
-            pending = scratch.keep(pending.withColumn("comp", F.col("id")), f"pending-{turn}")
-        else:
-            placed = pending.drop("comp").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-            split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-            pending = scratch.keep(placed.join(split, "key", "left_semi"), f"pending-{turn}")
-        if pending.isEmpty():
-            break
-        salt = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(hubs_a_key))
-        hubs = scratch.keep(pending.groupBy("key", salt.alias("salt")).agg(F.max(F.struct("company", -F.col("id"), "comp")).alias("h")).select("key", (-F.col("h.col2")).alias("hub"), F.col("h.comp").alias("hub_comp")), f"hubs-{turn}")
-        pairs = pending.join(hubs, "key").where("id <> hub and comp <> hub_comp").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
-        maybe = _pairs_with(pairs, facts, {"sketch": ("ka", "kb"), "n": ("na", "nb")}).select("u", "v", "ka", "kb", "na", "nb").mapInArrow(_likely_batches(percent), "u long, v long")
-        links = scratch.keep(_pairs_with(maybe, sets, {"shingles": ("sa", "sb")}).select("u", "v", "sa", "sb").mapInArrow(_verified_batches(percent), "u long, v long"), f"links-{turn}")
-        known_stars = links if comps is None else links.union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
-        comps = components(known_stars, scratch, f"comps-{turn}")
-        pending = pending.join(hubs.select("key", F.col("hub").alias("id")), ["key", "id"], "left_anti")
-        hubs_a_key, turn = hubs_a_key * 8, turn + 1
+    members = members.join(ids, "id")
+    hubs = members.groupBy("key").agg(F.max(F.struct("company", -F.col("id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
+    pairs = members.join(hubs, "key").where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
+    maybe = _pairs_with(pairs, facts, {"sketch": ("ka", "kb"), "n": ("na", "nb")}).select("u", "v", "ka", "kb", "na", "nb").mapInArrow(_likely_batches(percent), "u long, v long")
+    links = scratch.keep(_verified(maybe, sets, percent), "links-0")
+    comps = components(links, scratch, "comps-0")
+
+    placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    split = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).where("lo < hi").select("key", "size")
+    pending = scratch.keep(placed.join(split, "key").select("key", "id", "comp", "size"), "pending")
+    if not pending.isEmpty():
+        maybe = scratch.keep(_swept(pending, facts, sets, percent).distinct(), "maybe-1")
+        links = _verified(maybe.where("not sure").select("u", "v"), sets, percent).union(maybe.where("sure").select("u", "v")).union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
+        comps = components(scratch.keep(links, "links-1"), scratch, "comps-1")
 
     # Ids that repeat with different sets, and equal sets, join the same group.
     same_id = known.join(reps.select("set_key", F.col("id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
