@@ -96,3 +96,10 @@ def test_components(spark):
     got = dict(map(tuple, components(edges, Scratch(spark, "t"), "c").collect()))
     assert all(got[k] == 1 for k in range(1, 31)) and got[51] == 50 and got[62] == got[61] == 60
     assert components(edges.limit(0), Scratch(spark, "t"), "c").count() == 0
+
+
+def test_the_largest_set_stands_for_an_id(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    rows = [(4, a + " more"), (4, b), (2, a), (3, b + " x"), (9, "other words here entirely now"), (9, "")]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(4, 57, 2), (4, 56, 2), (2, 56, 2), (3, 57, 3), (9, 1, 9), (9, 0, 9)}
