@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-TABLES = "documents embeddings pages benchmark labels conversations".split()
 #: Most rows in an Arrow batch. Documents may be very long, so that Spark's 10,000 could need gigabytes.
 ARROW_ROWS = 1000
 
