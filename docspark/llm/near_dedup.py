@@ -27,6 +27,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 2
 DOUBT = 12.0
 #: Members of a block in the sweep, and the largest sets that travel with them.
 BLOCK, SMALL = 512, 512
+#: Pairs of the sweep that are held at once.
+CHUNK = 4096
 #: Registers that pairs at the threshold share at least, but for once in ten million times.
 LEAST_EQUAL = 130
 #: As many document ids at most are broadcast (8 bytes each and their table); beyond that, joins shuffle.
@@ -93,6 +95,10 @@ def likely(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, percent
     return possible & (top >= best - DOUBT)
 
 
+def key_of(shingles: bytes) -> bytes | None:
+    return hashlib.blake2b(shingles, digest_size=16).digest() if shingles else None
+
+
 def _sketch_batches(batches):
     for batch in batches:
         texts = batch.column("text").to_pylist()
@@ -102,7 +108,7 @@ def _sketch_batches(batches):
             for row, a, b in zip(sketches(hashes, starts), starts[:-1], starts[1:], strict=True):
                 own = np.unique(hashes[a:b])
                 sizes.append(len(own))
-                keys.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
+                keys.append(key_of(own.tobytes()))
                 rows.append(row.tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(rows, pa.binary())], ["doc_id", "n_shingles", "set_key", "sketch"])
 
@@ -120,7 +126,7 @@ def _set_batches(batches):
         for _, part in blocks(batch.column("text").to_pylist()):
             hashes, starts = shingle_hashes(part)
             sets += [np.unique(hashes[a:b]).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sets, pa.binary())], ["id", "shingles"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(map(key_of, sets), pa.binary()), pa.array(sets, pa.binary())], ["id", "set_key", "shingles"])
 
 
 def _likely_batches(percent: int):
@@ -187,42 +193,41 @@ def _sweep_batches(percent: int):
             cuts = np.flatnonzero((np.diff(held[0]) != 0) | (np.diff(held[1]) != 0) | (np.diff(held[2]) != 0)) + 1
             # The last group may go on in the next batch.
             for a, b in zip([0, *cuts[:-1]], cuts, strict=len(cuts) > 0):
-                found += close_pairs([x[a:b] for x in held], percent)
-                waiting += len(found[-1][0]) if found else 0
-                if waiting > 4096:
-                    yield settle(found, percent)
-                    found, waiting = [], 0
+                for chunk in close_pairs([x[a:b] for x in held], percent):
+                    found.append(chunk)
+                    waiting += len(chunk[0])
+                    if waiting > CHUNK:
+                        yield settle(found, percent)
+                        found, waiting = [], 0
             if len(cuts):
-                held = [x[cuts[-1] :] for x in held]
-        if held is not None:
-            found += close_pairs(held, percent)
+                held = [x[cuts[-1] :].copy() for x in held]
+        for chunk in close_pairs(held, percent) if held is not None else ():
+            yield settle([chunk], percent)
         yield settle(found, percent)
 
     return run
 
 
-def close_pairs(group: list[np.ndarray], percent: int) -> list[list[np.ndarray]]:
+def close_pairs(group: list[np.ndarray], percent: int):
     """Pairs of a group of rows that may be links by their sizes and numbers of equal registers: (ids, sizes, sketches, shingles) of
-    both ends."""
+    both ends, CHUNK pairs at most at a time."""
     _, lo, hi, own, ids, comps, sizes, sketch, sets = group
     if (comps == comps[0]).all():
-        return []
+        return
     left, right = np.flatnonzero(own == lo[0]), np.flatnonzero(own == hi[0])
-    out = []
-    step = max(1, 200_000 // max(1, len(right)))
+    step = max(1, 16 * CHUNK // max(1, len(right)))
     for at in range(0, len(left), step):
         some = left[at : at + step]
         fits = (comps[some][:, None] != comps[right]) & (100 * np.minimum(sizes[some][:, None], sizes[right]) >= percent * np.maximum(sizes[some][:, None], sizes[right]))
         if lo[0] == hi[0]:  # within a block each pair once, between blocks all
             fits &= some[:, None] < right
         i, j = np.nonzero(fits)
-        for a in range(0, len(i), 20_000):
-            x, y = some[i[a : a + 20_000]], right[j[a : a + 20_000]]
+        for a in range(0, len(i), CHUNK):
+            x, y = some[i[a : a + CHUNK]], right[j[a : a + CHUNK]]
             good = (sketch[x] == sketch[y]).sum(1) >= LEAST_EQUAL
             x, y = x[good], y[good]
             if len(x):
-                out.append([ids[x], ids[y], sizes[x], sizes[y], sketch[x], sketch[y], sets[x], sets[y]])
-    return out
+                yield [ids[x], ids[y], sizes[x], sizes[y], sketch[x], sketch[y], sets[x], sets[y]]
 
 
 def settle(found: list[list[np.ndarray]], percent: int) -> pa.RecordBatch:
@@ -253,9 +258,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a set holds the distinct 5-word shingles, or the whole word
     sequence where there are fewer words. Rows link at 100 * intersection >= percent * union. component_id is the smallest doc_id
-    that links reach. Null and empty texts have 0 shingles and stand alone. Rows that repeat a doc_id are one document if their
-    texts have equal sets, else each set is linked on its own and all rows of the id share what any of them reaches. A null doc_id
-    is kept with a null component_id and kept = true. Other columns are not read.
+    that links reach. Null and empty texts have 0 shingles and stand alone. Rows that repeat a doc_id are one document: the largest
+    of their sets stands for it, and all its rows with shingles share its component. A null doc_id is kept with a null component_id
+    and kept = true. Other columns are not read.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -263,6 +268,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, sketch binary"), "rows")
     known = rows.where("doc_id is not null and n_shingles > 0")
+    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    if not twice.isEmpty():
+        best = known.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key", "sketch")).alias("best"))
+        rows = rows.join(best, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("best.set_key", "set_key").alias("set_key"), F.coalesce("best.sketch", "sketch").alias("sketch"))
+        rows = scratch.keep(rows, "rows-of-one-set")
+        known = rows.where("doc_id is not null and n_shingles > 0")
     reps = scratch.keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "sketch")).alias("s")).select("set_key", "id", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "reps")
 
     keys = reps.select("id", "sketch").mapInArrow(_band_batches, "key long, id long")
@@ -272,10 +283,10 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     ids = scratch.keep(company, "ids")
     few = ids.count() <= BROADCAST_IDS
     wanted = ids.select(F.col("id").alias("doc_id"))
-    # Rows of one id may hold several sets; the representative's set is the one that its key names.
-    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "id long, shingles binary")
-    sets = scratch.keep(chosen.where(F.length("shingles") > 0).groupBy("id").agg(F.max("shingles").alias("shingles")), "sets")
-    facts = reps.groupBy("id").agg(F.max(F.struct("n", "sketch")).alias("s")).select("id", "s.n", "s.sketch")
+    chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "id long, set_key binary, shingles binary")
+    largest = F.max(F.struct(F.length("shingles").alias("n"), "set_key", "shingles"))
+    sets = scratch.keep(chosen.where(F.length("shingles") > 0).groupBy("id").agg(largest.alias("s")).select("id", "s.shingles"), "sets")
+    facts = reps.select("id", "n", "sketch")
 
     members = members.join(ids, "id")
     hubs = members.groupBy("key").agg(F.max(F.struct("company", -F.col("id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
@@ -292,13 +303,8 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         links = _verified(maybe.where("not sure").select("u", "v"), sets, percent).union(maybe.where("sure").select("u", "v")).union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
         comps = components(scratch.keep(links, "links-1"), scratch, "comps-1")
 
-    # Ids that repeat with different sets, and equal sets, join the same group.
-    same_id = known.join(reps.select("set_key", F.col("id").alias("rep")), "set_key").where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("u"))
-    if not twice.isEmpty():
-        comps = components(same_id.join(twice, "u", "left_semi").union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v"))) if comps is not None else same_id, scratch, "comps-ids")
     out = rows.drop("sketch").join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").withColumn("id", F.coalesce("rep", "doc_id"))
-    out = out.join(comps, "id", "left") if comps is not None else out.withColumn("comp", F.lit(None).cast("long"))
+    out = out.join(comps, "id", "left")
     out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
