@@ -19,7 +19,7 @@ from docspark.llm.common import small_batches
 
 MARK = "▁"
 #: Segments a worker remembers at most, of at most LONGEST characters each.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 _NO_LIMIT = 1 << 60
 
 
@@ -188,14 +188,10 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
-def remembered(made: Encoder) -> Encoder:
-    """In a worker: the process's own encoder for this model, with what it remembers; the tables come with the task."""
-    return _encoders.setdefault(made.path, made)
-
-
-def _digest_batches(made: Encoder):
+def _digest_batches(enc: Encoder):
     def run(batches):
-        enc = remembered(made)
+        # What a task remembers goes with the task, as other operators' tasks come to the same worker.
+        enc._forget()
         known, segment = enc.known, enc.segment
         end = str(enc.end)
         for batch in batches:
@@ -207,13 +203,15 @@ def _digest_batches(made: Encoder):
                 plain.append(hashlib.sha256("".join([x[2] for x in found]).removeprefix(" ").encode()).hexdigest())
             kept = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(plain, pa.string())], [*kept, "n_tokens", "ids_sha256", "decoded_sha256"])
+        known.clear()
+        enc._forget()
 
     return run
 
 
-def _id_batches(made: Encoder):
+def _id_batches(enc: Encoder):
     def run(batches):
-        enc = remembered(made)
+        enc._forget()
         for batch in batches:
             ids = [[*enc.encode(t), enc.end] for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
