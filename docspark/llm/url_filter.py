@@ -32,21 +32,30 @@ RULES: tuple[Rule, ...] = (
 
 
 class Bloom:
-    """Bits for n keys at a rate p of errors; salt differs from level to level."""
+    """Bits for n keys at a rate of at most p of errors: probes and bits are added until the fill gives that rate, as each probe has
+    hash bits of its own. salt differs from level to level."""
 
     def __init__(self, keys, n: int, p: float, salt: int):
-        self.size = max(64, math.ceil(-n * math.log(max(p, 1e-9)) / math.log(2) ** 2))
-        self.turns, self.salt = max(1, round(self.size / max(n, 1) * math.log(2))), salt
-        self.turns = min(self.turns, 24)
-        bits = np.zeros(self.size, bool)
-        for key in keys:
-            bits[self._places(key)] = True
+        self.turns, self.salt = 1, salt
+        self.width = max(10, math.ceil(math.log2(max(1.0, -n * math.log(p) / math.log(2) ** 2))))
+        while (1 - math.exp(-self.turns * n / 2**self.width)) ** self.turns > p and self.turns < -2 * math.log2(p):
+            self.turns += 1
+        while True:
+            bits = np.zeros(1 << self.width, bool)
+            for key in keys:
+                bits[list(self._places(key))] = True
+            if bits.mean() ** self.turns <= p:
+                break
+            self.turns, self.width = (self.turns + 1, self.width) if bits.mean() < 0.4 else (self.turns, self.width + 1)
         self.bits = np.packbits(bits).tobytes()
 
-    def _places(self, key: str) -> list[int]:
-        both = xxhash.xxh3_128_intdigest(key, seed=self.salt)
-        a, b = both & 0xFFFFFFFFFFFFFFFF, both >> 64 | 1
-        return [(a + i * b) % self.size for i in range(self.turns)]
+    def _places(self, key: str):
+        each, mask = 128 // self.width, (1 << self.width) - 1
+        for turn in range(self.turns):
+            if turn % each == 0:
+                both = xxhash.xxh3_128_intdigest(key, seed=self.salt << 32 | turn)
+            yield both & mask
+            both >>= self.width
 
     def __contains__(self, key: str) -> bool:
         return all(self.bits[k >> 3] & 128 >> (k & 7) for k in self._places(key))
@@ -65,21 +74,21 @@ class Cascade:
 
 def build(listed: set[str], universe: DataFrame, count: int) -> Cascade:
     """listed: keys on the list. universe(key): all distinct keys of the corpus, `count` of them. Only keys that level 0 takes
-    wrongly come to the driver, about 0.7 for each listed key."""
+    wrongly come to the driver, about 0.7 for each listed key; a level 0 that takes far more is made anew with the square of its rate."""
     made = Cascade()
     if not listed:
         return made
-    p = min(0.5, len(listed) / (math.sqrt(2) * max(count, 1)))
-    made.levels.append(Bloom(sorted(listed), len(listed), p, 0))
-    first = made.levels[0]
-    wrong = universe.mapInArrow(_taken(first, frozenset(listed)), "key string")
-    rest = {row.key for row in wrong.toLocalIterator()}
-    bound = 20 * len(listed) + 1000
-    if len(rest) > bound:
-        raise ValueError(f"level 0 took {len(rest)} keys wrongly; at most {bound} were to be expected")
+    p, bound, salt = min(0.5, len(listed) / (math.sqrt(2) * max(count, 1))), 20 * len(listed) + 1000, 0
+    while True:
+        first = Bloom(sorted(listed), len(listed), p, salt)
+        rest = {row.key for row in universe.mapInArrow(_taken(first, frozenset(listed)), "key string").take(bound + 1)}
+        if len(rest) <= bound:
+            break
+        p, salt = p * p, salt + 1
+    made.levels.append(first)
     inside, outside = set(listed), rest
     while outside:
-        made.levels.append(Bloom(sorted(outside), len(outside), 0.5, len(made.levels)))
+        made.levels.append(Bloom(sorted(outside), len(outside), 0.5, salt + len(made.levels)))
         inside, outside = outside, {k for k in inside if k in made.levels[-1]}
     return made
 

@@ -174,3 +174,26 @@ def test_cascade_is_exact_on_its_universe(spark):
     made = url_filter.build(listed, spark.createDataFrame([(k,) for k in keys], "key string"), len(keys))
     assert len(made.levels) > 1 and all((k in made) == (k in listed) for k in keys)
     assert "k1" not in url_filter.build(set(), spark.createDataFrame([], "key string"), 0)
+
+
+def test_urls_of_a_million_hosts(spark):
+    url = F.concat(F.lit("https://h"), F.col("id").cast("string"), F.element_at(F.array(*map(F.lit, (".example.com/en/", ".org/a/", ".net/es/x", ".com/b"))), (F.col("id") % 4 + 1).cast("int")))
+    rules = F.element_at(F.array(*map(F.lit, ("example.com/en/", None, "net/es/", "com/"))), (F.col("page_id") % 4 + 1).cast("int"))
+    got = url_filter.judge(spark.range(1_000_000).select(F.col("id").alias("page_id"), url.alias("url")))
+    right = rules.eqNullSafe(F.col("rule")) & (F.col("verdict") == F.when(F.col("page_id") % 2 == 0, "block").otherwise("allow"))
+    assert got.agg(F.count("*"), F.sum(right.cast("int"))).first()[:] == (1_000_000, 1_000_000)
+
+
+def test_cascade_with_too_many_wrong_keys_is_made_finer(spark):
+    """A count far too small asks for a rate that lets thousands of keys through."""
+    universe = spark.range(2_000_000).select(F.concat(F.lit("k"), "id").alias("key"))
+    first = url_filter.Bloom(["k1", "k2"], 2, 0.5, 0)
+    assert sum(f"k{i}" in first for i in range(2_000_000)) > 1040
+    made = url_filter.build({"k1", "k2"}, universe, 1)
+    assert [i for i in range(2_000_000) if f"k{i}" in made] == [1, 2]
+
+
+def test_bloom_reaches_its_rate():
+    for n, p in ((2, 1e-4), (3, 1e-3), (3, 0.01), (500, 0.02)):
+        made = url_filter.Bloom([f"in{i}" for i in range(n)], n, p, 0)
+        assert all(f"in{i}" in made for i in range(n)) and sum(f"out{i}" in made for i in range(200_000)) < 1.5 * p * 200_000 + 10
