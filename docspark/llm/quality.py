@@ -48,6 +48,8 @@ def text_stats(texts: list[str | None]) -> np.ndarray:
         counts = np.stack([np.add.reduceat((kinds == k).astype(np.int64), starts) for k in range(_CLASSES)], 1).astype(float)
         counts[:, 4] -= 1  # the separator
         words, at = word_hashes(part)
+        edges = np.flatnonzero(np.diff((kinds == 3) | (kinds == 4), prepend=True))  # where words start and end, in turn
+        lengths = edges[1::2] - edges[::2]
         n = np.diff(at).astype(float)
         rows = out[first : first + len(part)]
         rows[:, 0], rows[:, 1] = np.log1p(sizes), np.log1p(n)
@@ -64,8 +66,8 @@ def text_stats(texts: list[str | None]) -> np.ndarray:
                 rows[i, 16] = (own[1:] == own[:-1]).mean() if b - a > 1 else 0
                 if b - a > 2:
                     rows[i, 17] = len(np.unique(own[1:] * np.uint64(3) + own[:-1])) / (b - a - 1)
+                rows[i, 13] = lengths[a:b].max() / 100
             lines = [x for x in part[i].split(b"\n") if x]
-            rows[i, 13] = max(map(len, part[i].split(None, 4096)[:4096]), default=0) / 100
             rows[i, 18], rows[i, 19] = np.log1p(len(lines)), (b - a) / max(1, len(lines))
             rows[i, 20] = len(set(lines)) / max(1, len(lines))
     return out

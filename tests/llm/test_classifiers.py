@@ -57,6 +57,13 @@ def test_quality_odd_rows(spark, odd_docs, no_docs):
     assert quality.fit(np.zeros((5, len(quality.STATS))), np.ones(5)).score(np.zeros((1, len(quality.STATS))))[0] > 0.9
 
 
+def test_longest_word_of_the_whole_text():
+    at = quality.STATS.index("long_words")
+    texts = ["ab " * 5000 + "x" * 700, "ab\x0bé\tabcd", None, " \n", "x" * 30 + " " + "ab\r\n" * 9000 + "y" * 40 + "\x0c ", "", "z"]
+    want = [max(map(len, (t or "").encode().split()), default=0) / 100 for t in texts]
+    assert want[0] == 7 and np.allclose(quality.text_stats(texts)[:, at], want)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = made(spark)
     chain = toxicity.fit_on(docs, labels)
