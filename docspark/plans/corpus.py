@@ -59,28 +59,47 @@ def q_top_terms(spark, sf_dir):
     return tagging.top_terms(_term_counts(spark, sf_dir), "doc_id").select("doc_id", "term", "n", "rank")
 
 
-@query(f"""
+def _tags_sql(text: str) -> str:
+    return f"""
 WITH {_TERMS}, {_TOP},
 f AS (SELECT doc_id, list(term ORDER BY k) AS found FROM r WHERE k <= 2 AND n >= 3 GROUP BY doc_id),
-h AS (SELECT doc_id, list_distinct([source]) AS tags, {_category_sql('lower(left(text, 100))')} AS cats FROM documents)
+h AS (SELECT doc_id, list_distinct([source]) AS tags, {_category_sql(f'lower({text})')} AS cats FROM documents)
 SELECT h.doc_id, array_to_string(list_concat(list_concat(tags, cats[1:2]), list_filter(coalesce(found, []), lambda t: NOT list_contains(list_concat(tags, cats[1:2]), t)))[1:10], ',') AS tags
 FROM h LEFT JOIN f ON f.doc_id = h.doc_id
-""")
-def q_tags_final(spark, sf_dir):
+"""
+
+
+def _tags_final(spark, sf_dir, text):
     """Product and categories first, then the document's own terms."""
-    own = table(spark, sf_dir, "documents").select("doc_id", G.hierarchical(F.col("source"), F.left("text", F.lit(100)), F.lit(""), F.lit(None).cast("array<string>")).alias("tags"))
+    own = table(spark, sf_dir, "documents").select("doc_id", G.hierarchical(F.col("source"), text, F.lit(""), F.lit(None).cast("array<string>")).alias("tags"))
     top = tagging.top_terms(_term_counts(spark, sf_dir), "doc_id")
     found = top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("found"))
     joined = own.join(found, "doc_id", "left")
     return joined.select("doc_id", F.array_join(G.final(F.col("tags"), F.coalesce("found", F.array().cast("array<string>"))), ",").alias("tags"))
 
 
+@query(_tags_sql("left(text, 100)"))
+def q_tags_final(spark, sf_dir):
+    return _tags_final(spark, sf_dir, F.left("text", F.lit(100)))
+
+
+@query(_tags_sql("coalesce(text, '')"))
+def q_tags_final_whole(spark, sf_dir):
+    return _tags_final(spark, sf_dir, F.coalesce("text", F.lit("")))
+
+
 @query("""SELECT doc_id, '---' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || chr(10) || '- b' || chr(10) || '---' || chr(10) || left(text, 20) || chr(10) || 'k:' || chr(10) || chr(10) || '- x' AS fixed FROM documents""")
 def q_yaml_fix(spark, sf_dir):
     text = F.concat(F.lit("---\ntags:\n\n- a\n\n- b\n---\n"), F.left("text", F.lit(20)), F.lit("\nk:\n\n- x"))
     return table(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
 
 
+@query("""SELECT doc_id, '---' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || chr(10) || '- b' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || 'k:' || chr(10) || chr(10) || '- x' AS fixed FROM documents""")
+def q_yaml_fix_whole(spark, sf_dir):
+    text = F.concat(F.lit("---\ntags:\n\n- a\n\n- b\n---\n"), F.coalesce("text", F.lit("")), F.lit("\nk:\n\n- x"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
+
+
 @query(r"""
 WITH t AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') AS w FROM documents)
 SELECT doc_id, trim('# ' || left(w, 10), ' ') || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || chr(10) || '- b' || chr(10) || chr(10) || '1. c' || chr(10) || chr(10) || '1. d' AS fixed FROM t
@@ -91,6 +110,19 @@ def q_clean_markdown(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
 
 
+# The steps one after the other; step 2 leaves no heading right behind another, so that step 3 may take the next character along.
+_CLEAN = "coalesce(text, '') || chr(10) || 'a  ' || repeat(chr(10), 4) || '- b' || chr(10) || '3. c' || chr(10) || '7. d' || chr(10) || chr(10)"
+for _pattern, _new in ((r"\n{3,}", r"\n\n"), (r"\n(#{1,6} )", r"\n\n\1"), (r"(#{1,6} [^\n]+)\n([^\n]|\z)", r"\1\n\n\2"), (r"\n(- )", r"\n\n\1"), (r"\n\d+\. ", r"\n\n1. "), (r"(?m)[ \t]+$", ""), (r"^\s+|\s+$", "")):
+    _put = "'" + _new.replace(r"\n", "' || chr(10) || '") + "'"
+    _CLEAN = f"regexp_replace({_CLEAN}, '{_pattern}', {_put}, 'g')"
+
+
+@query(f"SELECT doc_id, {_CLEAN} AS fixed FROM documents")
+def q_clean_markdown_whole(spark, sf_dir):
+    text = F.concat(F.coalesce("text", F.lit("")), F.lit("\na  \n\n\n\n- b\n3. c\n7. d\n\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
+
+
 # ---- links ----
 
 BASE = "https://s/p"

@@ -136,11 +136,22 @@ def q_clean_name(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", P.safe_name(t).alias("name"))
 
 
+@query(f"WITH d AS (SELECT doc_id, '..' || regexp_replace(coalesce(text, ''), '[\\x80-\\x{{10FFFF}}]', 'x', 'g') || ' a/b:c?.' AS t FROM documents) SELECT doc_id, {_clean_sql('t')} AS name FROM d")
+def q_clean_name_whole(spark, sf_dir):
+    t = F.concat(F.lit(".."), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x{80}-\x{10FFFF}]", "x"), F.lit(" a/b:c?."))
+    return table(spark, sf_dir, "documents").select("doc_id", P.safe_name(t).alias("name"))
+
+
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
 def q_tag_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.tag(F.left("text", F.lit(80))).alias("tag"))
 
 
+@query("SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
+def q_tag_normalize_whole(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", X.tag(F.coalesce("text", F.lit(""))).alias("tag"))
+
+
 _FROM = "'docs/' || (page_id % 3) || '/' || CASE WHEN page_id % 2 = 0 THEN 'deep/er/' ELSE '' END || 'p.md'"
 _TO = "'docs/' || (page_id % 2) || '/' || CASE WHEN page_id % 5 = 0 THEN 'deep/' ELSE '' END || 'q' || page_id || '.md'"
 
