@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -179,14 +180,14 @@ def verified(targets: DataFrame, checks: DataFrame, pages: DataFrame, base: str)
     return alive.join(_last(url_map(pages), "_key", "_file", "file"), "_key").groupBy("target").agg(F.min_by("file", "rank").alias("file"))
 
 
-def reachable(starts: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
-    """Breadth first: starts(url), edges(parent_url, url) -> url, depth, each URL once at its least depth, down to `depth`.
+def reachable(starts: DataFrame, edges: DataFrame, depth: int | None = None) -> DataFrame:
+    """Breadth first: starts(url), edges(parent_url, url) -> url, depth, each URL once at its least depth, down to `depth` if given.
 
     Each turn joins the newest URLs with the edges and leaves out what is known; it ends when nothing is new.
     """
     known = cut(starts.where("url is not null").select("url").distinct().withColumn("depth", F.lit(0)))
     newest, all_of = known, [known]
-    for d in range(1, depth + 1):
+    for d in count(1) if depth is None else range(1, depth + 1):
         found = newest.select(F.col("url").alias("parent_url")).join(edges, "parent_url").select("url").distinct()
         newest = cut(found.join(reduce(DataFrame.union, all_of).select("url"), "url", "left_anti").withColumn("depth", F.lit(d)))
         if newest.isEmpty():

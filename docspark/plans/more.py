@@ -36,11 +36,21 @@ def q_redirect_done(spark, sf_dir):
 
 @query("SELECT 'https://s/' || page_id AS url, CAST(length(bin(page_id)) - 1 AS INT) AS depth FROM pages WHERE page_id BETWEEN 1 AND 63")
 def q_bfs_reachable(spark, sf_dir):
+    return _bfs(spark, sf_dir, 5).where(F.substring_index("url", "/", -1).cast("long") <= 63)
+
+
+@query("SELECT 'https://s/' || page_id AS url, CAST(length(bin(page_id)) - 1 AS INT) AS depth FROM pages WHERE page_id >= 1")
+def q_bfs_reachable_whole(spark, sf_dir):
+    """Until nothing is new: all pages but page 0, to which no link leads."""
+    return _bfs(spark, sf_dir, None)
+
+
+def _bfs(spark, sf_dir, depth):
     """From page 1 over a binary tree of links, with links back to the root."""
     n = F.col("page_id")
     p = table(spark, sf_dir, "pages").where(n > 0).select(n)
     edges = p.where(n > 1).select(_url(F.floor(n / 2)).alias("parent_url"), _url(n).alias("url")).union(p.select(_url(n), _url(F.lit(1))))
-    return links.reachable(p.where(n == 1).select(_url(n).alias("url")), edges, 5).where(F.substring_index("url", "/", -1).cast("long") <= 63)
+    return links.reachable(p.where(n == 1).select(_url(n).alias("url")), edges, depth)
 
 
 @query(f"""
@@ -62,18 +72,32 @@ def q_hierarchy_metadata(spark, sf_dir):
     return links.with_metadata(v.drop("title"), nodes).select("ord", "title", "description")
 
 
-@query("""
-WITH e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_id AS seq, event_type = 'click' AS downloaded, CASE WHEN event_type = 'error' THEN props END AS error FROM events WHERE user_id % 2 = 0)
+def _fold_sql(where: str) -> str:
+    return f"""
+WITH e AS (SELECT CAST(user_id AS VARCHAR) AS url, event_id AS seq, event_type = 'click' AS downloaded, CASE WHEN event_type = 'error' THEN props END AS error FROM events{where})
 SELECT CAST(doc_id AS VARCHAR) AS url, coalesce(x.downloaded, quality = 1) AS downloaded, CASE WHEN x.url IS NOT NULL THEN x.error WHEN toxic = 1 THEN 'bad' END AS error_message
 FROM labels LEFT JOIN (SELECT url, arg_max(downloaded, seq) AS downloaded, arg_max(coalesce(error, ''), seq) AS e0, CASE WHEN arg_max(coalesce(error, ''), seq) = '' THEN NULL ELSE arg_max(coalesce(error, ''), seq) END AS error FROM e GROUP BY url) x ON x.url = CAST(doc_id AS VARCHAR)
-""")
-def q_images_fold(spark, sf_dir):
+"""
+
+
+def _fold(spark, sf_dir, events):
     images = _images(spark, sf_dir).withColumns({"page_url": F.lit("p"), "local_path": F.lit(None).cast("string")})
     kind = F.col("event_type")
-    events = table(spark, sf_dir, "events").where("user_id % 2 = 0").select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("local_path"), (kind == "click").alias("downloaded"), F.when(kind == "error", F.col("props")).alias("error_message"))
+    events = events.select(F.col("user_id").cast("string").alias("url"), F.col("event_id").alias("seq"), F.lit(None).cast("string").alias("local_path"), (kind == "click").alias("downloaded"), F.when(kind == "error", F.col("props")).alias("error_message"))
     return state.fold_images(images, events).select("url", "downloaded", "error_message")
 
 
+@query(_fold_sql(" WHERE user_id % 2 = 0"))
+def q_images_fold(spark, sf_dir):
+    return _fold(spark, sf_dir, table(spark, sf_dir, "events").where("user_id % 2 = 0"))
+
+
+@query(_fold_sql(""))
+def q_images_fold_whole(spark, sf_dir):
+    """The events of all users."""
+    return _fold(spark, sf_dir, table(spark, sf_dir, "events"))
+
+
 @query("SELECT CAST(doc_id AS VARCHAR) AS url FROM labels WHERE doc_id % 200 NOT IN (SELECT user_id FROM events)")
 def q_image_orphans(spark, sf_dir):
     images = _images(spark, sf_dir).withColumn("page_url", F.concat(F.lit("https://h/"), (F.col("url").cast("long") % 200).cast("string")))
