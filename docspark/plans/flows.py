@@ -15,12 +15,13 @@ from docspark.plans.registry import query, table
 from docspark.sources import sitemap, vault
 
 
-def discover(known: DataFrame, hierarchy: DataFrame, sitemaps: DataFrame, mode: str, root: str, base: str, most: int = 1500) -> DataFrame:
-    """New URLs from the hierarchy, or from the sitemaps if it has none, best priority first, `most` of them."""
+def discover(known: DataFrame, hierarchy: DataFrame, sitemaps: DataFrame, mode: str, root: str, base: str, most: int | None = 1500) -> DataFrame:
+    """New URLs from the hierarchy, or from the sitemaps if it has none, best priority first, `most` of them, or all if it is None."""
     first = hierarchy.where(U.allowed(F.col("url"), mode, root, base)).select("url", F.lit(1).alias("source"))
     second = sitemaps.where(U.sitemap_wanted(F.col("url"), mode, root, base)).select("url", F.lit(2).alias("source"))
     rows = sitemap.prioritised(sitemap.first_source(first.union(second), "source")).select("url", "priority").distinct()
-    return state.insert_new(known, rows, "url", "priority").orderBy("priority", "url").limit(most)
+    new = state.insert_new(known, rows, "url", "priority").orderBy("priority", "url")
+    return new if most is None else new.limit(most)
 
 
 def markdown_pages(pages: DataFrame, variable: str = "__STATE__") -> DataFrame:
@@ -61,12 +62,25 @@ def q_flow_files(spark, sf_dir):
     return rows.agg(F.count("*").alias("pages"), F.countDistinct("file_path").alias("files"))
 
 
-@query("""
+_DISCOVERED = """
 WITH u AS (SELECT DISTINCT regexp_extract(url, '^([a-z]+://[^/?#]*)', 1) || '/docs/get-started-' || page_id AS url, page_id FROM pages)
 SELECT url, 1 AS priority FROM u WHERE url LIKE 'https://m.%' AND page_id % 2 = 1
-""")
-def q_flow_discover(spark, sf_dir):
+"""
+
+
+def _discovered(spark, sf_dir, most):
     """The hierarchy has nothing that is allowed, so the sitemap counts; even pages are known already."""
     url = F.concat(U.origin(F.col("url")), F.lit("/docs/get-started-"), F.col("page_id").cast("string"))
     urls = table(spark, sf_dir, "pages").select("page_id", url.alias("url"))
-    return discover(urls.where("page_id % 2 = 0").select("url"), urls.limit(0).select("url"), urls.select("url"), "product", "https://", "https://m.", 1_000_000)
+    return discover(urls.where("page_id % 2 = 0").select("url"), urls.limit(0).select("url"), urls.select("url"), "product", "https://", "https://m.", most)
+
+
+@query(_DISCOVERED)
+def q_flow_discover(spark, sf_dir):
+    return _discovered(spark, sf_dir, None)
+
+
+@query(f"{_DISCOVERED} ORDER BY priority, url LIMIT 1500")
+def q_flow_discover_first(spark, sf_dir):
+    """The page limit of a run: the first 1500."""
+    return _discovered(spark, sf_dir, 1500)

@@ -1,7 +1,10 @@
 """Queries over whole tables: no bound on ids or depth, no user left out, no limit where nothing asks for one."""
 
+import re
+
 import __spark_entry__
 from docspark.operators import links
+from docspark.plans import flows
 
 
 def test_reachable_until_nothing_is_new(spark):
@@ -23,3 +26,11 @@ def test_images_of_all_users(spark, tmp_path):
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
     got = {r.url: (r.downloaded, r.error_message) for r in __spark_entry__.queries()["q_images_fold_whole"](spark, str(tmp_path)).collect()}
     assert got == {"1": (False, "e1"), "2": (True, None), "3": (False, "e3"), "4": (False, None)}
+
+
+def test_discovery_without_limit(spark, tmp_path):
+    pages = [(k, f"https://m.example.net/p{k}") for k in range(20)]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = __spark_entry__.queries()["q_flow_discover"](spark, str(tmp_path))
+    assert not re.search("GlobalLimit [1-9]", found._jdf.queryExecution().toString()) and found.count() == 10
+    assert [r.url for r in flows._discovered(spark, str(tmp_path), 3).collect()] == [r.url for r in found.collect()][:3]
