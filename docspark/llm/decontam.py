@@ -7,7 +7,8 @@ shingles weighing as often as they occur; the counts are held in bit planes. Fin
 RADIUS + 1 blocks at least, so an index of the items by size, block and block value misses none of them. Candidates within the
 radius are then compared by exact weighted shingles: sum of smaller over sum of larger multiplicities.
 
-At similarity 0.75 a bit differs with probability 0.17, in 11 of 64 bits on average with deviation 3, hence RADIUS.
+At similarity 0.75 a bit differs with probability 0.172, in 11 of 64 bits on average with deviation 3; a binomial count exceeds RADIUS
+with probability 7e-7 (9e-5 for 23 bits).
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 
 from docspark.llm.common import Scratch
 
-RADIUS, SHINGLE = 23, 5
+RADIUS, SHINGLE = 27, 5
 #: Most shingles of items in one broadcast (about 100 bytes each with the index); more items go through in several passes.
 BROADCAST_SHINGLES = 500_000
 #: Shingles of a text that stand in one row while they are looked up.

@@ -72,6 +72,34 @@ def test_simhash_is_the_majority(spark):
     assert len(spans) == decontam.RADIUS + 1 and sum(n for _, n in spans) == 64 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
 
 
+def test_decontamination_of_distant_fingerprints(spark):
+    """Six of seven shingles shared, similarity 0.75, and 24 to 27 bits of the fingerprints apart."""
+    import xxhash
+
+    def hashes(w):
+        out = []
+        for run in runs(w):
+            h = 42
+            for x in run:
+                h = xxhash.xxh64_intdigest(x, seed=h)
+            out.append(h)
+        return out
+
+    def majority(h):
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    def ties(w):
+        h = hashes(w[:10])
+        return sum(sum(x >> b & 1 for x in h) == 3 for b in range(64))
+
+    head = max(([f"a{i}x{j}" for j in range(10)] for i in range(3000)), key=ties)
+    prints = {f"z{i}": majority(hashes([*head, f"z{i}"])) for i in range(200)}
+    a, b = next((a, b) for a in prints for b in prints if 24 <= (prints[a] ^ prints[b]).bit_count() <= 27)
+    docs = spark.createDataFrame([(1, " ".join([*head, a]))], "doc_id long, text string")
+    items = spark.createDataFrame([(2, " ".join([*head, b]))], "item_id long, text string")
+    assert [(r.doc_id, r.item_id, r.similarity) for r in decontam.matches(docs, items).collect()] == [(1, 2, 0.75)]
+
+
 def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     long = odd_docs.where("doc_id = 10").first().text.split()
     items = spark.createDataFrame([(1, " ".join(long[500:540])), (2, "one two"), (3, None), (None, "")], "item_id long, text string")
