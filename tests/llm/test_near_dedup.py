@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 
@@ -103,3 +104,15 @@ def test_the_largest_set_stands_for_an_id(spark):
     rows = [(4, a + " more"), (4, b), (2, a), (3, b + " x"), (9, "other words here entirely now"), (9, "")]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(4, 57, 2), (4, 56, 2), (2, 56, 2), (3, 57, 3), (9, 1, 9), (9, 0, 9)}
+
+
+def test_stated_miss_rate_is_the_simulated_one():
+    """Bands share registers, so misses of bands are not independent."""
+    told, of = re.search(r"simulated: (\d+) of ([\d,]+)", N.__doc__).groups()
+    rng, missed = np.random.default_rng(5), 0
+    for _ in range(30):
+        equal, left = rng.random((10_000, N.REGISTERS), dtype=np.float32) < 0.75, np.arange(10_000)
+        for band in N._bands:
+            left = left[~equal[np.ix_(left, band)].all(1)]
+        missed += len(left)
+    assert abs(missed - 300_000 * int(told) / int(of.replace(",", ""))) < 5 * missed**0.5
