@@ -69,6 +69,18 @@ class Scratch:
                 drop_path(self.spark, path)
 
 
+def free_names(taken: list[str], *stems: str) -> list[str]:
+    """Names for columns of our own that clash with none of `taken`, in whatever case these are written."""
+    low = {c.lower() for c in taken}
+    found = []
+    for stem in stems:
+        while stem.lower() in low:
+            stem += "_"
+        low.add(stem.lower())
+        found.append(stem)
+    return found
+
+
 def crc_mod3(doc_id) -> "F.Column":
     """The remainder that keeps rows out of every training set (1: held out)."""
     return F.crc32(doc_id.cast("string")) % 3

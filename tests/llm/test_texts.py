@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -64,16 +65,40 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
 
 def test_simhash_is_the_majority(spark):
     rng = random.Random(4)
-    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 20, 55)]
-    got = spark.createDataFrame([(r,) for r in rows], "h array<long>").select(decontam.simhash(F.col("h"), 6)).collect()
-    for hashes, (told,) in zip(rows, got, strict=True):
+    rows = [[rng.getrandbits(64) - (1 << 63) for _ in range(n)] for n in (1, 2, 3, 20, 28)]
+    for hashes in rows:
+        told = spark.createDataFrame([(hashes,)], "h array<long>").select(decontam.simhash(F.col("h"), len(hashes))).first()[0]
         assert told & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
-    spans = decontam.block_spans()
-    assert len(spans) == decontam.RADIUS + 1 and sum(n for _, n in spans) == 64 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False))
+    assert decontam.BLOCKS * (decontam.REACH + 1) > decontam.RADIUS and decontam.BLOCKS * decontam.WIDTH == 64
+    assert len(set(decontam.NEAR)) == sum(math.comb(decontam.WIDTH, n) for n in range(decontam.REACH + 1))
+
+
+def test_windows_are_the_prints_of_their_shingles(spark):
+    """All windows of a text over several pieces, from the planes, against the fingerprint of each window by itself."""
+    rng = random.Random(7)
+    hashes = [rng.getrandbits(64) - (1 << 63) for _ in range(60)]
+    row = spark.createDataFrame([(60, 0, 0, hashes)], "n int, at int, first int, around array<long>")
+    kinds = {1: 0, 3: 1, 6: 2, 8: 3, 16: 4, 24: 5}
+    for stride in (1, 2):
+        got = {(r.i, r.kind): r.print for r in decontam.windows(row, kinds, stride).collect()}
+        assert len(got) == 6 * len(range(0, 60, stride))
+        for size, kind in kinds.items():
+            for i in range(0, 60 - size + 1, stride):
+                assert got[i, kind] & (1 << 64) - 1 == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes[i : i + size]) > size)
+
+
+def test_every_print_within_the_radius_is_found(spark):
+    """The index has a print under every value that a print within RADIUS bits may have in one of its blocks."""
+    rng = random.Random(9)
+    value = rng.getrandbits(63)
+    entries = {(b, (value >> 16 * b & 65535) ^ m) for b in range(4) for m in decontam.NEAR}
+    for _ in range(3000):
+        other = value ^ sum(1 << b for b in rng.sample(range(64), decontam.RADIUS))
+        assert any((b, other >> 16 * b & 65535) in entries for b in range(4))
 
 
 def test_decontamination_of_distant_fingerprints(spark):
-    """Six of seven shingles shared, similarity 0.75, and 24 to 27 bits of the fingerprints apart."""
+    """Six of seven shingles shared, similarity 0.75, and 24 to 27 bits of the whole fingerprints apart: a part of them is equal."""
     import xxhash
 
     def hashes(w):
@@ -111,6 +136,39 @@ def test_decontamination_odd_rows(spark, odd_docs, no_docs):
     assert decontam.drop_contaminated(odd_docs, items.limit(0)).count() == 14
 
 
+def test_each_row_is_judged_by_its_own_text(spark):
+    """Null and repeated ids, and columns with the names that the operator uses itself."""
+    leak = " ".join(f"leak{i}" for i in range(30))
+    rows = [(None, leak, 1, 2), (None, "clean words only", 1, 2), (7, "x " + leak, 1, 2), (7, "clean words only", 1, 2), (8, None, 1, 2), (8, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone_doc long, `my col` int").withColumnRenamed("my col", "gone_text")
+    kept = decontam.drop_contaminated(docs, spark.createDataFrame([(1, leak)], "item_id long, text string"))
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=repr) == sorted([rows[1], rows[3], rows[4], rows[5]], key=repr)
+
+
+def test_recall_at_the_threshold(spark):
+    """Passages with one changed word, cut ends or both, all of 0.75 to 0.9: at least 0.9 of them are found, as the plain form does."""
+    rng = random.Random(12)
+    vocabulary = [f"r{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(14, 60)))) for i in range(150)]
+    docs = []
+    for d in range(600):
+        told = items[d % 150][1].split()
+        if d % 3 != 1 and len(told) > 38:
+            told[rng.randrange(len(told))] = "changed"
+        elif d % 3 == 1:
+            cut = rng.randint(0, len(told) // 8)
+            told = told[rng.randint(0, cut) : len(told) - cut // 2]
+        docs.append((d, " ".join([rng.choice(vocabulary) for _ in range(rng.randint(0, 90))] + told + [rng.choice(vocabulary) for _ in range(rng.randint(0, 90))])))
+    want = {}
+    for d, text in docs:
+        want |= plain([(d, text)], [items[d % 150]])
+    want = {k: v for k, v in want.items() if v < 0.9}
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.matches(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    found = [k for k in want if k in got]
+    print("recall", len(found), "of", len(want), "best window of these", sum(abs(got[k] - want[k]) < 1e-9 for k in found))
+    assert len(want) > 200 and len(found) >= 0.9 * len(want) and all(abs(got[k] - want[k]) < 1e-9 for k in found)
+
+
 # ---- fingerprints ----
 
 
