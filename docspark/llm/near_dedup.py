@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch, blocks, mix, shingle_hashes, small_batches
+from docspark.llm.common import Scratch, blocks, free_names, mix, shingle_hashes, small_batches
 from docspark.llm.components import components
 
 REGISTERS, ROWS, BANDS = 224, 8, 112
@@ -171,7 +171,7 @@ def _swept(pending: DataFrame, facts: DataFrame, sets: DataFrame, percent: int)
     """
     blocks_of = F.ceil(F.col("size") / BLOCK).cast("int")
     small = sets.where(F.length("shingles") <= 8 * SMALL)
-    rows = pending.join(facts, "id").join(small, "id", "left")
+    rows = pending.join(facts, "id").join(small, ["id", "set_key"], "left")
     rows = rows.select("key", "id", "comp", "n", "sketch", "shingles", blocks_of.alias("blocks"), F.pmod(F.xxhash64("id"), blocks_of).cast("int").alias("own"))
     others = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = rows.withColumn("other", F.explode(others)).withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other")})
@@ -253,14 +253,21 @@ def is_link(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _same_document(known: DataFrame, reps: DataFrame) -> DataFrame:
+    """Links (u, v) of the representatives of all sets of a document that has several."""
+    several = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
+    own = known.join(several, "doc_id", "left_semi").select("doc_id", "set_key").distinct().join(reps.select("set_key", "id"), "set_key").select("doc_id", "id")
+    return own.join(own.groupBy("doc_id").agg(F.min("id").alias("v")), "doc_id").where("id <> v").select(F.col("id").alias("u"), "v")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """docs(doc_id long, text string, ...) -> doc_id, n_shingles, component_id, kept: one row for each input row.
 
     Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased; a set holds the distinct 5-word shingles, or the whole word
     sequence where there are fewer words. Rows link at 100 * intersection >= percent * union. component_id is the smallest doc_id
-    that links reach. Null and empty texts have 0 shingles and stand alone. Rows that repeat a doc_id are one document: the largest
-    of their sets stands for it, and all its rows with shingles share its component. A null doc_id is kept with a null component_id
-    and kept = true. Other columns are not read.
+    that links reach. Null and empty texts have 0 shingles and stand alone. Rows that repeat a doc_id are one document that links by
+    each of its texts, and all its rows with shingles share its component. A null doc_id links with nothing and is kept, with a null
+    component_id and kept = true. Very long texts are read whole, other columns are not read, an empty table gives an empty result.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -268,12 +275,6 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, sketch binary"), "rows")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    twice = known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi")).where("lo <> hi").select("doc_id")
-    if not twice.isEmpty():
-        best = known.join(twice, "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "set_key", "sketch")).alias("best"))
-        rows = rows.join(best, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("best.set_key", "set_key").alias("set_key"), F.coalesce("best.sketch", "sketch").alias("sketch"))
-        rows = scratch.keep(rows, "rows-of-one-set")
-        known = rows.where("doc_id is not null and n_shingles > 0")
     reps = scratch.keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "sketch")).alias("s")).select("set_key", "id", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "reps")
 
     keys = reps.select("id", "sketch").mapInArrow(_band_batches, "key long, id long")
@@ -284,15 +285,16 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     few = ids.count() <= BROADCAST_IDS
     wanted = ids.select(F.col("id").alias("doc_id"))
     chosen = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi").mapInArrow(_set_batches, "id long, set_key binary, shingles binary")
-    largest = F.max(F.struct(F.length("shingles").alias("n"), "set_key", "shingles"))
-    sets = scratch.keep(chosen.where(F.length("shingles") > 0).groupBy("id").agg(largest.alias("s")).select("id", "s.shingles"), "sets")
-    facts = reps.select("id", "n", "sketch")
+    # Rows that repeat a document and its text give one set; texts of other documents with the same set are no representatives.
+    sets = chosen.where(F.length("shingles") > 0).groupBy("id", "set_key").agg(F.max("shingles").alias("shingles"))
+    sets = scratch.keep(sets.join(reps.select("id", "set_key"), ["id", "set_key"], "left_semi"), "sets")
+    facts = reps.select("id", "set_key", "n", "sketch")
 
     members = members.join(ids, "id")
     hubs = members.groupBy("key").agg(F.max(F.struct("company", -F.col("id"))).alias("h")).select("key", (-F.col("h.col2")).alias("hub"))
     pairs = members.join(hubs, "key").where("id <> hub").select(F.greatest("id", "hub").alias("u"), F.least("id", "hub").alias("v")).distinct()
     maybe = _pairs_with(pairs, facts, {"sketch": ("ka", "kb"), "n": ("na", "nb")}).select("u", "v", "ka", "kb", "na", "nb").mapInArrow(_likely_batches(percent), "u long, v long")
-    links = scratch.keep(_verified(maybe, sets, percent), "links-0")
+    links = scratch.keep(_verified(maybe, sets, percent).union(_same_document(known, reps)), "links-0")
     comps = components(links, scratch, "comps-0")
 
     placed = members.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
@@ -300,7 +302,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     pending = scratch.keep(placed.join(split, "key").select("key", "id", "comp", "size"), "pending")
     if not pending.isEmpty():
         maybe = scratch.keep(_swept(pending, facts, sets, percent).distinct(), "maybe-1")
-        links = _verified(maybe.where("not sure").select("u", "v"), sets, percent).union(maybe.where("sure").select("u", "v")).union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
+        links = _verified(maybe.where("not sure").select("u", "v").distinct(), sets, percent).union(maybe.where("sure").select("u", "v")).union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
         comps = components(scratch.keep(links, "links-1"), scratch, "comps-1")
 
     out = rows.drop("sketch").join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").withColumn("id", F.coalesce("rep", "doc_id"))
@@ -310,8 +312,13 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the rows whose near-duplicate group has a smaller doc_id; all columns stay. Repeated kept rows stay repeated."""
+    """docs without the rows whose near-duplicate group has a smaller doc_id; all columns stay, whatever their names.
+
+    Rows with a null doc_id stay, and so do null and empty texts, unless another text of the same doc_id goes. Repeated rows that are kept
+    stay repeated. Very long texts are read whole. An empty table gives an empty result.
+    """
     scratch = Scratch(docs.sparkSession, "near")
-    gone = scratch.keep(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    few = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    (own,) = free_names(docs.columns, "gone_doc")
+    gone = scratch.keep(near_duplicates(docs, percent).where("not kept").select(F.col("doc_id").alias(own)).distinct(), "gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").cast("long") == F.col(own), "left_anti")

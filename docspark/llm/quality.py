@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docspark.llm.common import blocks, crc_mod3, labelled_sample, small_batches, word_hashes
+from docspark.llm.common import blocks, crc_mod3, free_names, labelled_sample, small_batches, word_hashes
 from docspark.llm.linear import fit_logistic, sigmoid
 
 #: Labelled rows used for fitting at most.
@@ -73,17 +74,14 @@ def text_stats(texts: list[str | None]) -> np.ndarray:
     return out
 
 
-def _stat_batches(batches):
-    for batch in batches:
-        stats = text_stats(batch.column("text").to_pylist())
-        kept = [c for c in batch.schema.names if c != "text"]
-        yield pa.RecordBatch.from_arrays([batch.column(c) for c in kept] + [pa.array(stats[:, k]) for k in range(len(STATS))], kept + [f"_{s}" for s in STATS])
+_STATS = T.StructType([T.StructField(name, T.DoubleType()) for name in STATS])
 
 
-def with_stats(rows: DataFrame) -> DataFrame:
-    """rows(..., text) -> the other columns and one double column _<name> for each of STATS."""
-    kept = ", ".join(f"{c} {t}" for c, t in rows.dtypes if c != "text")
-    return rows.mapInArrow(_stat_batches, f"{kept}, " + ", ".join(f"_{s} double" for s in STATS))
+@F.arrow_udf(_STATS)
+def stats(texts: pa.Array) -> pa.Array:
+    """struct of STATS. Texts go to Python alone; the rest of a row stays in the JVM."""
+    found = text_stats(texts.to_pylist())
+    return pa.StructArray.from_arrays([pa.array(found[:, k]) for k in range(len(STATS))], list(STATS))
 
 
 # ---- rules ----
@@ -142,11 +140,11 @@ class RuleModel:
     def score(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.intercept + sum((w * holds(r, x) for r, w in self.rules), np.zeros(len(x))))
 
-    def column(self) -> Column:
-        """The score as a Spark expression over the columns _<statistic>."""
+    def column(self, stats: str) -> Column:
+        """The score as a Spark expression over the struct column `stats`."""
         total = F.lit(float(self.intercept))
         for rule, weight in self.rules:
-            tests = [F.col(f"_{STATS[k]}") > F.lit(cut) if above else F.col(f"_{STATS[k]}") <= F.lit(cut) for k, above, cut in rule]
+            tests = [F.col(stats)[STATS[k]] > F.lit(cut) if above else F.col(stats)[STATS[k]] <= F.lit(cut) for k, above, cut in rule]
             total = total + F.when(reduce(lambda a, b: a & b, tests), F.lit(float(weight))).otherwise(F.lit(0.0))
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-total))
 
@@ -164,9 +162,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> RuleModel:
+    """Fits on at most `most` rows with a label, none of the held-out third.
+
+    Labels without a document, null ids and null labels are left out; null and empty texts have zero statistics; very long texts are read
+    whole; a repeated id counts once for each of its texts, as 1 if any of its labels is. Other columns are not read. Without rows the model
+    says 0.5, with one class the class's rate.
+    """
     small_batches(docs.sparkSession)
-    rows = with_stats(labelled_sample(docs, labels, "quality", most)).orderBy("doc_id", "_bytes", "_distinct").toPandas()
-    return fit(rows[[f"_{s}" for s in STATS]].to_numpy(float), rows.y.to_numpy(float))
+    rows = labelled_sample(docs, labels, "quality", most).select("doc_id", "y", stats("text").alias("s")).select("doc_id", "y", "s.*")
+    rows = rows.orderBy("doc_id", "bytes", "distinct").toPandas()
+    return fit(rows[list(STATS)].to_numpy(float), rows.y.to_numpy(float))
 
 
 def score(docs: DataFrame, model: RuleModel) -> DataFrame:
@@ -176,15 +181,17 @@ def score(docs: DataFrame, model: RuleModel) -> DataFrame:
     scored alike. Very long texts are read whole. Other columns are not read. Empty tables give empty results.
     """
     small_batches(docs.sparkSession)
-    rows = with_stats(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = rows.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), model.column().alias("score"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), stats(F.col("text").cast("string")).alias("stats"))
+    rows = rows.select("doc_id", F.coalesce(crc_mod3(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), model.column("stats").alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def keep_good(docs: DataFrame, model: RuleModel, threshold: float = 0.5) -> DataFrame:
-    """The rows of docs with a score of at least threshold, with all their columns; the judged text travels beside them, so rows need no id."""
+    """The rows of docs with a score of at least threshold, with all their columns, whatever their names.
+
+    Each row is judged by its own text, read whole; ids may be null or repeated, and repeated rows fare alike. Null and empty texts have
+    zero statistics and their score. An empty table gives an empty result.
+    """
     small_batches(docs.sparkSession)
-    names = docs.columns
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("row"), F.col("text").cast("string").alias("text"))
-    kept = packed.mapInArrow(_stat_batches, f"row {packed.schema['row'].dataType.simpleString()}, " + ", ".join(f"_{s} double" for s in STATS))
-    return kept.where(model.column() >= threshold).select("row.*")
+    (own,) = free_names(docs.columns, "stats")
+    return docs.withColumn(own, stats(F.col("text").cast("string"))).where(model.column(own) >= threshold).drop(own)

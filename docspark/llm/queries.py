@@ -96,5 +96,27 @@ GROUP BY page_id, host, path
 """
 
 
+#: Documents and items that share a shingle, and then each window of the item's size: only these can match.
+OP3_SQL = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM benchmark),
+i AS (SELECT item_id, k, list_transform(range(1, len(w) - k + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')) AS item
+  FROM (SELECT *, least(5, len(w)) AS k FROM iw WHERE len(w) > 0)),
+d AS (SELECT doc_id, k, list_transform(range(1, greatest(len(w) - k, 0) + 2), lambda p: array_to_string(w[p:p + k - 1], ' ')) AS own
+  FROM dw, (SELECT DISTINCT k FROM i) WHERE len(w) > 0),
+x AS (SELECT doc_id, k, unnest(own) AS h FROM d), y AS (SELECT item_id, k, unnest(item) AS h FROM i),
+pairs AS (SELECT DISTINCT doc_id, item_id, k FROM x JOIN y USING (k, h)),
+places AS (SELECT p.doc_id, p.item_id, own, item, unnest(range(0, greatest(len(own) - len(item), 0) + 1)) AS start
+  FROM pairs p JOIN d ON d.doc_id = p.doc_id AND d.k = p.k JOIN i ON i.item_id = p.item_id),
+windows AS (SELECT doc_id, item_id, start, item, own[start + 1:start + len(item)] AS win FROM places),
+near AS (SELECT * FROM windows WHERE list_has_any(win, item)),
+told AS (SELECT doc_id, item_id, start, len(win) + len(item) AS total,
+  CAST(list_sum(list_transform(list_intersect(win, item), lambda h: least(len(list_filter(win, lambda v: v = h)), len(list_filter(item, lambda v: v = h))))) AS INT) AS shared FROM near),
+good AS (SELECT doc_id, item_id, CAST(start AS INT) AS start, shared, shared / (total - shared) AS similarity FROM told WHERE 100 * shared >= 75 * (total - shared))
+SELECT doc_id, item_id, start, shared, similarity FROM (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY similarity DESC, shared DESC, start) AS best FROM good) WHERE best = 1
+"""
+
+
 def oracle_sql():
-    return {"op2_minhash_near_dedup": OP2_SQL, "op9_url_filters": OP9_SQL}
+    return {"op2_minhash_near_dedup": OP2_SQL, "op3_benchmark_decontamination": OP3_SQL, "op9_url_filters": OP9_SQL}

@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -64,6 +66,83 @@ def test_longest_word_of_the_whole_text():
     assert want[0] == 7 and np.allclose(quality.text_stats(texts)[:, at], want)
 
 
+def plain_stats(text):
+    """The statistics one by one, without arrays over several texts."""
+    raw = (text or "").encode()
+    n, words = len(raw), raw.split()
+    lines = [x for x in raw.split(b"\n") if x]
+    share = lambda f: sum(map(f, raw)) / max(1, n)
+    of = lambda chars: share(lambda c: c in chars)
+    counted = Counter(words)
+    word_bytes = sum(c not in b" \t\r\x0b\x0c\n" for c in raw)
+    return [
+        math.log1p(n), math.log1p(len(words)), share(lambda c: 65 <= c <= 90), share(lambda c: 97 <= c <= 122), share(lambda c: 48 <= c <= 57), of(b" \t\r\x0b\x0c"), of(b"\n"), of(b","), of(b".;:"), of(b"!?"),
+        share(lambda c: c < 128 and not (chr(c).isalnum() or c in b" \t\r\x0b\x0c\n,.;:!?")), share(lambda c: c >= 128), word_bytes / max(1, len(words)), max(map(len, words), default=0) / 100,
+        len(counted) / max(1, len(words)), max(counted.values(), default=0) / max(1, len(words)), sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1),
+        len(set(zip(words, words[1:]))) / (len(words) - 1) if len(words) > 2 else 0, math.log1p(len(lines)), len(words) / max(1, len(lines)), len(set(lines)) / max(1, len(lines)),
+    ]
+
+
+def test_statistics_against_their_plain_form():
+    rng = random.Random(11)
+    alphabet = ["ab", "AB", "é", "7", ",", ".", "!", "#", " ", " ", "\n", "\t", "中", "\x00", "the", "\x0b", "~"]
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.choice((0, 1, 5, 60, 900)))) for _ in range(150)]
+    # Deciding words far behind: after word 4,096 and after a million bytes.
+    texts += [None, "", " ", "\n\n", "x", "ab " * 5000 + "x" * 700, "word one two\n" * 90_000 + "y" * 999 + " end"]
+    got = quality.text_stats(texts)
+    for t, row in zip(texts, got, strict=True):
+        assert np.allclose(row, plain_stats(t), atol=1e-9), ((t or "")[:60], dict(zip(quality.STATS, zip(row, plain_stats(t)))))
+
+
+def odd_names(docs):
+    """Names that need quoting, and those that the operators use themselves."""
+    for k, name in enumerate(("my col", "a-b", "tick`s", "a.b", "stats", "scores", "row", "p_toxic", "_words", "Stats_")):
+        docs = docs.withColumn(name, F.lit(k))
+    return docs
+
+
+def test_odd_names(spark, odd_docs):
+    docs, labels = made(spark)
+    model, chain = quality.fit_on(docs, labels), toxicity.fit_on(docs, labels)
+    named = odd_names(odd_docs)
+    for kept, plain in ((quality.keep_good(named, model), quality.keep_good(odd_docs, model)), (toxicity.drop_toxic(named, chain), toxicity.drop_toxic(odd_docs, chain))):
+        assert kept.columns == named.columns and kept.count() == plain.count()
+
+
+def test_chain_against_its_plain_form(spark):
+    """Each category's model by itself, with the probabilities of the earlier ones put in as further features."""
+    docs, labels = made(spark)
+    chain = toxicity.fit_on(docs, labels)
+    words = list(chain.index)
+    for r in toxicity.score(docs, chain).collect()[:200]:
+        own, p = toxicity.words_of(docs_text(docs, r.doc_id)), []
+        for k in range(len(toxicity.CATEGORIES)):
+            z = chain.intercepts[k] + sum(chain.weights[i, k] for i, w in enumerate(words) if w in own) + sum(chain.carried[k, j] * p[j] for j in range(k))
+            p.append(1 / (1 + math.exp(-z)))
+        assert np.allclose([r[f"p_{c}"] for c in toxicity.CATEGORIES], p) and r.toxic == (p[-1] >= chain.threshold)
+
+
+_texts = {}
+
+
+def docs_text(docs, doc_id):
+    if not _texts:
+        _texts.update({r.doc_id: r.text for r in docs.collect()})
+    return _texts[doc_id]
+
+
+def test_categories_come_from_the_rows():
+    """Two families of words that never stand together make categories of their own; no list of words is given."""
+    x = np.zeros((60, 4), np.float32)
+    x[:10, 0] = x[:8, 1] = x[10:18, 2] = x[12:18, 3] = 1
+    y = (np.arange(60) < 20).astype(float)
+    groups = toxicity.word_groups(x, y, 3)
+    assert [g.tolist() for g in groups] == [[0, 1], [2, 3], []]
+    assert [g.tolist() for g in toxicity.word_groups(x[:0], y[:0], 3)] == [[], [], []]
+    assert toxicity.best_threshold(np.array([0.9, 0.8, 0.3, 0.1]), np.array([1.0, 1, 0, 0])) == 0.55
+    assert toxicity.best_threshold(np.array([0.9]), np.array([1.0])) == 0.5
+
+
 def test_toxicity_held_out(spark):
     docs, labels = made(spark)
     chain = toxicity.fit_on(docs, labels)

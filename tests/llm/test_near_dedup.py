@@ -99,11 +99,17 @@ def test_components(spark):
     assert components(edges.limit(0), Scratch(spark, "t"), "c").count() == 0
 
 
-def test_the_largest_set_stands_for_an_id(spark):
-    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
-    rows = [(4, a + " more"), (4, b), (2, a), (3, b + " x"), (9, "other words here entirely now"), (9, "")]
+def test_each_text_of_an_id_links(spark):
+    a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
+    rows = [(4, a + " more"), (4, b), (2, a), (3, b + " x"), (9, "other words here entirely now"), (9, ""), (12, c), (12, a), (11, c + " y"), (10, "q r s t u v")]
     got = {(r.doc_id, r.n_shingles, r.component_id) for r in N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == {(4, 57, 2), (4, 56, 2), (2, 56, 2), (3, 57, 3), (9, 1, 9), (9, 0, 9)}
+    assert got == {(4, 57, 2), (4, 56, 2), (2, 56, 2), (3, 57, 2), (9, 1, 9), (9, 0, 9), (12, 56, 2), (11, 57, 2), (10, 2, 10)}
+
+
+def test_names_of_columns(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f", 1, 2), (2, "a b c d e f", 1, 2)], "doc_id long, text string, gone_doc int, `a-b` int")
+    kept = N.drop_near_duplicates(docs)
+    assert kept.columns == docs.columns and [tuple(r) for r in kept.collect()] == [(1, "a b c d e f", 1, 2)]
 
 
 def test_stated_miss_rate_is_the_simulated_one():
