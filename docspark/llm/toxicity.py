@@ -26,6 +26,8 @@ from docspark.llm.linear import fit_logistic, sigmoid
 SAMPLE = 20_000
 #: Words in a model at most, the fewest sample documents a word must be in, and the folds.
 VOCABULARY, LEAST_DOCS, FOLDS = 300, 5, 3
+#: Least two-proportion score of a word, in standard deviations: words of no clear meaning must not speak by their absence.
+LEAST_SCORE = 4.0
 #: Words that may lead or join a category.
 STRONG = 40
 CATEGORIES = ("category_1", "category_2", "category_3", "toxic")
@@ -148,7 +150,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> Chain:
         counts = rows.select("y", F.explode("words").alias("w")).groupBy("w").agg(F.count("*").alias("c"), F.sum("y").alias("c1")).where(F.col("c") >= LEAST_DOCS)
         p = F.col("c") / n
         gap = F.abs(F.col("c1") / n1 - (F.col("c") - F.col("c1")) / (n - n1)) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)) + 1e-9)
-        words = [r.w for r in counts.orderBy(F.round(gap, 9).desc(), "w").limit(VOCABULARY).collect()]
+        words = [r.w for r in counts.where(gap >= LEAST_SCORE).orderBy(F.round(gap, 9).desc(), "w").limit(VOCABULARY).collect()]
     known = F.array(*(F.lit(w) for w in sorted(words))).cast("array<string>")
     found = rows.select("doc_id", "y", F.array_intersect("words", known).alias("words")).toPandas()  # SAMPLE rows of few words
     found["key"] = [" ".join(sorted(w)) for w in found["words"]]
