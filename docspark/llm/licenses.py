@@ -1,9 +1,11 @@
 """Licence scans by a positional index of rare tokens.
 
-Templates are notices. By the IDF over the whole corpus, each template posts its rarest words with their positions, as many as a
-place that counts cannot lack all of. A text's words are looked up there; a posting's relative position, position in the text minus
-position in the template, gives a place of a template. The distinct places are aligned word by word and count only with the
-template's mandatory key phrase. Beside the templates, base phrases are counted wherever their words stand consecutively.
+Templates are notices and the paragraphs of whole licences. By the IDF over the whole corpus, each template posts its rarest words with
+their positions, until they hold as much weight as POSTED says. A file's licence words are looked up from its highest IDF down; a posting's
+relative position, position in the text minus position in the template, gives a place of a template. Postings are intersected by
+relative position: only a place at which posted words of enough weight agree is a candidate, as a place that counts lacks less than
+1 - LEAST_SHARE of the weight. Candidates are aligned word by word and count only with the template's mandatory key phrase. Beside the
+templates, base phrases are counted wherever their words stand consecutively.
 """
 
 from __future__ import annotations
@@ -21,17 +23,27 @@ from docspark.llm.common import small_batches
 #: Base phrases and their labels.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
 
-#: Label, notice, and a key phrase of the notice that must stand in the text word for word.
+#: Label, notice or paragraph of a public licence, and a key phrase of it that must stand in the text word for word.
 TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "to any person obtaining a copy of this software"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "to any person obtaining a copy of this software"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.", "permission notice shall be included in all copies or substantial portions"),
     ("mit", "under the mit license", "mit license"),
-    ("apache-2", "licensed under the apache license version 2 0 you may not use this file except in compliance with the license", "apache license version 2"),
+    ("apache-2", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at", "apache license version 2"),
+    ("apache-2", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.", "distributed under the license is distributed on an as is basis"),
     ("apache-2", "licensed under the apache license version 2 0", "apache license version 2"),
-    ("bsd-2", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "redistribution and use in source and binary forms"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gnu general public license"),
-    ("gpl", "this work is licensed under the gnu general public license version", "gnu general public license"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "redistribution and use in source and binary forms"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.", "may be used to endorse or promote products derived from this software"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.", "for any purpose with or without fee is hereby granted"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.", "without any express or implied warranty"),
+    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.", "gnu general public license"),
+    ("gpl", "licensed under the gnu general public license", "gnu general public license"),
     ("lgpl", "under the terms of the gnu lesser general public license", "gnu lesser general public license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("agpl", "under the terms of the gnu affero general public license", "gnu affero general public license"),
+    ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at", "mozilla public license"),
+    ("unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.", "free to copy modify publish use compile sell or distribute this software"),
+    ("bsl-1", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "to any person or organization obtaining a copy of the software"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", "creative commons attribution"),
     ("cc-by", "licensed under cc by 4 0", "cc by 4"),
     ("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
@@ -41,6 +53,8 @@ TEMPLATES = (
 )
 #: A place counts if as large a share of the template's words, by IDF, stands there.
 LEAST_SHARE = 0.75
+#: Share of a template's weight that its posted words hold; those of a place that counts hold LEAST_SHARE + POSTED - 1 of it at least.
+POSTED = 0.6
 
 _WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -50,7 +64,7 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text.translate(_LOWER)) if text else []
 
 
-_VOCABULARY = frozenset(w for _, t, _ in TEMPLATES for w in t.split())
+_VOCABULARY = frozenset(w for _, t, _ in TEMPLATES for w in words_of(t))
 
 
 def _seen_batches(batches):
@@ -73,23 +87,36 @@ def corpus_idf(texts: DataFrame) -> dict[str, float]:
 class Index:
     def __init__(self, idf: dict[str, float]):
         self.idf = idf
-        self.templates = [(label, t.split(), k.split(), sum(idf[w] for w in t.split())) for label, t, k in TEMPLATES]
+        self.templates = [(label, words_of(t), k.split(), sum(idf[w] for w in words_of(t))) for label, t, k in TEMPLATES]
         self.postings: dict[str, list[tuple[int, int]]] = {}
+        self.needed: list[float] = []
         for t, (_, words, _, weight) in enumerate(self.templates):
-            # A place that counts lacks less than 1 - LEAST_SHARE of the weight, so it holds one of the rarest words that make up as much.
-            left = (1 - LEAST_SHARE) * weight
+            posted = 0.0
             for p in sorted(range(len(words)), key=lambda p: (-idf[words[p]], p)):
-                if left < -1e-9:
+                if posted >= POSTED * weight:
                     break
                 self.postings.setdefault(words[p], []).append((t, p))
-                left -= idf[words[p]]
+                posted += idf[words[p]]
+            self.needed.append(posted - (1 - LEAST_SHARE) * weight - 1e-9)
         self.base = [(phrase.split(), label) for phrase, label in BASE.items()]
 
+    def candidates(self, words: list[str]) -> list[tuple[int, int]]:
+        """(template, start) at which posted words of enough weight agree."""
+        places: dict[str, list[int]] = {}
+        for k, w in enumerate(words):
+            if w in self.postings:
+                places.setdefault(w, []).append(k)
+        agreed: dict[tuple[int, int], float] = {}
+        for w in sorted(places, key=lambda w: (-self.idf[w], w)):
+            for t, p in self.postings[w]:
+                for k in places[w]:
+                    agreed[t, k - p] = agreed.get((t, k - p), 0.0) + self.idf[w]
+        return sorted(x for x, weight in agreed.items() if weight >= self.needed[x[0]])
+
     def matches(self, words: list[str]) -> list[tuple[int, int, float]]:
         """(template, start, share) of the places that count, the best place of each template."""
-        votes = {(t, k - p) for k, w in enumerate(words) if w in self.postings for t, p in self.postings[w]}
         best: dict[int, tuple[float, int]] = {}
-        for t, start in sorted(votes):
+        for t, start in self.candidates(words):
             _, template, key, weight = self.templates[t]
             fit = sum(self.idf[w] for p, w in enumerate(template) if 0 <= start + p < len(words) and words[start + p] == w) / weight
             if fit >= LEAST_SHARE and fit > best.get(t, (0.0, 0))[0] and self._holds(words, max(0, start), start + len(template), key):
