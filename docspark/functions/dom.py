@@ -7,6 +7,7 @@ all inside it, unmatched end tags are ignored, void elements hold nothing, scrip
 from __future__ import annotations
 
 import re
+from functools import cache
 from html.parser import HTMLParser
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -49,6 +50,14 @@ class Node:
             node = node.parent
         return False
 
+    def below(self, other: Node) -> bool:
+        node = self.parent
+        while node:
+            if node is other:
+                return True
+            node = node.parent
+        return False
+
     @property
     def classes(self) -> list[str]:
         return self.attrs.get("class", "").split()
@@ -89,6 +98,7 @@ def parse(html: str) -> Node:
 _PART = re.compile(r"(?P<tag>^[a-z][a-z0-9]*)|\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[(?P<name>[\w-]+)(?:(?P<op>\*?=)\"(?P<value>[^\"]*)\")?\]")
 
 
+@cache
 def selector(text: str):
     """A test for a list of simple selectors: tag, .class, #id, [a], [a="v"], [a*="v"] and their combinations."""
     tests = []

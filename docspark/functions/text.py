@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docspark.functions.path import slug_title
 from docspark.functions.url import quoted
 
 
@@ -58,6 +59,32 @@ def wikilinks(text: Column, base: str) -> Column:
     return rewrite(text, link, put)
 
 
+def titled_wikilinks(text: Column, base: str) -> Column:
+    """Wikilinks whose target is a slug, perhaps with a slash and a quoted title behind it, get the slug's title as target; then links
+    below base become wikilinks to their page's title: docs by name, resources in that folder, others by path, the home page as index."""
+    bent = r'\[\[([^|\]]+?)/?(?:\s*"[^"|\]]*")?\|([^\]]+)\]\]'
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+
+    def mended(m: Column) -> Column:
+        slug = F.regexp_replace(strip(F.regexp_extract(m, bent, 1)), '[/"]+$', "")
+        return F.when(slug == "", m).otherwise(F.concat(F.lit("[["), slug_title(slug), F.lit("|"), F.regexp_extract(m, bent, 2), F.lit("]]")))
+
+    link = r'\[([^\]]+)\]\(([^"\s)]+)(?:\s*"[^"]*")?\)'
+    home = base.rstrip("/")
+
+    def put(m: Column) -> Column:
+        told, url = F.regexp_extract(m, link, 1), F.regexp_extract(m, link, 2)
+        own = F.regexp_replace(url, "/+$", "")
+        path = F.regexp_replace(own.substr(F.lit(len(home) + 1), F.length(own)), "^/+|/+$", "")
+        name = (
+            F.when(own == home, F.lit("index")).when(path.startswith("docs/"), slug_title(path.substr(F.lit(6), F.length(path))))
+            .when(path.startswith("resources/"), F.concat(F.lit("resources/"), slug_title(path.substr(F.lit(11), F.length(path))))).otherwise(slug_title(path))
+        )
+        return F.when(url.startswith(base) & url.rlike("^https?://"), F.concat(F.lit("[["), name, F.lit("|"), told, F.lit("]]"))).otherwise(m)
+
+    return strip(rewrite(rewrite(text, bent, mended), link, put))
+
+
 def without_h1(text: Column) -> Column:
     """Without first-level headings, and with at most one blank line in a row."""
     lines = F.filter(F.split(text, "\n", -1), lambda line: ~line.rlike(r"^#\s+"))

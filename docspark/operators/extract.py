@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docspark.functions import dom
+from docspark.functions import url as U
 from docspark.functions.markdown import markdown
 
 #: Selectors of the main content, the first that is found counts.
@@ -19,8 +20,14 @@ CONTENT = ('[data-testid="topic-content"]', ".ak-renderer-document", '[role="mai
 NAVIGATION = 'nav,[role="navigation"],.navigation,.breadcrumb,[data-testid="page-tree"],[data-testid="navigation"],.page-navigation,.site-navigation,.global-nav,[aria-label*="navigation"],[aria-label*="Navigation"]'
 SIDEBARS = '.sidebar,aside,[role="complementary"],[data-testid="sidebar"],.page-sidebar,.toc,.table-of-contents,[aria-label*="sidebar"]'
 FURNITURE = "header,footer,.header,.footer"
+HELPFUL = '[data-testid*="helpful"],.helpful,.vote'
+#: Macros that go with all they hold.
+MACROS = ("details", "expand", "info", "warning", "note", "panel")
 CONTROLS = '[data-testid*="edit"],.edit-button,.internal-only,[data-testid*="feedback"],.feedback,.rating,[data-testid*="share"],.share-button,.social-share,.banner,.announcement,.alert-banner'
-RELATED = '.related-articles,.see-also,.recommended,[data-testid*="related"]'
+RELATED = ".related-articles,.see-also,.recommended"
+#: Where a page's own links are looked for, the first that has any counts; and sources of a page's title.
+LINK_PLACES = ('[data-testid="topic-content"]', ".ak-renderer-document", '[role="main"]', "main")
+PAGE_TITLES = ("h1", '[data-testid="topic-title"]', ".page-title", "title")
 #: Kinds of panels that keep their name as callouts; all others are info.
 CALLOUTS = ("info", "warning", "error", "success", "note")
 #: Late sources of a title, in order.
@@ -33,13 +40,13 @@ LIST_TEXT = 100
 SCHEMA = (
     "title string, content_html_length int, content_text string, markdown string, images array<string>, links array<struct<text:string,url:string>>, "
     "navigation array<string>, breadcrumbs array<struct<position:int,name:string,url:string>>, emphasis array<string>, "
-    "section_heading string, section_url string, siblings array<struct<title:string,url:string,is_current:boolean,position:int>>"
+    "section_heading string, section_url string, has_more boolean, page_title string, page_links array<string>, page_text string, siblings array<struct<title:string,url:string,is_current:boolean,position:int>>"
 )
 _TYPE = pa.struct([
     ("title", pa.string()), ("content_html_length", pa.int32()), ("content_text", pa.string()), ("markdown", pa.string()), ("images", pa.list_(pa.string())),
     ("links", pa.list_(pa.struct([("text", pa.string()), ("url", pa.string())]))), ("navigation", pa.list_(pa.string())),
     ("breadcrumbs", pa.list_(pa.struct([("position", pa.int32()), ("name", pa.string()), ("url", pa.string())]))), ("emphasis", pa.list_(pa.string())),
-    ("section_heading", pa.string()), ("section_url", pa.string()),
+    ("section_heading", pa.string()), ("section_url", pa.string()), ("has_more", pa.bool_()), ("page_title", pa.string()), ("page_links", pa.list_(pa.string())), ("page_text", pa.string()),
     ("siblings", pa.list_(pa.struct([("title", pa.string()), ("url", pa.string()), ("is_current", pa.bool_()), ("position", pa.int32())]))),
 ])
 
@@ -121,20 +128,29 @@ def cut_before_h1(content: dom.Node) -> None:
 
 
 def clean(content: dom.Node, url: str) -> tuple[list[str], list[tuple[str, str]]]:
-    """Cleans the tree in place and returns its images and links. Panels become callouts before macros go."""
+    """Cleans the tree in place and returns its images and links. Panels with a content wrapper become callouts of what that holds, before
+    macros go. Related articles go from blocks beside the main content, if there is any within."""
     cut_before_h1(content)
-    for group in (NAVIGATION, SIDEBARS, FURNITURE, "script,style,noscript"):
-        for node in dom.all_of(content, group):
+    for node in dom.all_of(content, ",".join((NAVIGATION, SIDEBARS, FURNITURE, 'script,style,noscript,link[rel="stylesheet"]'))):
+        node.remove()
+    for node in dom.all_of(content, "div[data-panel-type]"):
+        if wrapper := dom.first(node, ".ak-editor-panel__content"):
+            kind = node.attrs["data-panel-type"].lower()
+            node.tag, node.attrs = "blockquote", {}
+            node.children = [dom.Node("p", {}, node), *wrapper.children]
+            node.children[0].children.append(f"[!{kind if kind in CALLOUTS else 'info'}]")
+            for c in wrapper.children:
+                if isinstance(c, dom.Node):
+                    c.parent = node
+    for node in dom.all_of(content, "div[data-macro-name]"):
+        if node.attrs["data-macro-name"] in MACROS:
             node.remove()
-    for node in dom.all_of(content, '[data-panel-type],.panel'):
-        kind = node.attrs.get("data-panel-type", "").lower()
-        node.tag, node.attrs = "blockquote", {}
-        node.children.insert(0, dom.Node("p", {}, node))
-        node.children[0].children.append(f"[!{kind if kind in CALLOUTS else 'info'}]")
-    for node in dom.all_of(content, CONTROLS):
+    for node in dom.all_of(content, f"{CONTROLS},{HELPFUL}"):
         node.remove()
-    for node in dom.all_of(content, RELATED):
-        if not node.inside("main"):
+    related = dom.all_of(content, RELATED)
+    main = dom.first(content, 'main,article,[role="main"]') if related else None
+    for node in related:
+        if main and node.parent and node.parent.tag in ("aside", "footer", "div") and not node.below(main):
             node.remove()
     images, links = [], []
     for node in content.walk():
@@ -172,7 +188,7 @@ def siblings_of(root: dom.Node, url: str):
     """Heading and URL of the section, and the entries of its list; the position counts every list item."""
     nav = dom.first(root, NAVIGATION)
     if not nav:
-        return "", "", []
+        return "", "", [], False
     head = next((n for n in nav.walk() if n.tag in ("h2", "h3", "h4")), None)
     link = next((n for n in head.walk() if n.tag == "a"), None) if head else None
     found = []
@@ -183,7 +199,25 @@ def siblings_of(root: dom.Node, url: str):
         target = urljoin(url, a.attrs["href"])
         current = "current" in li.classes or a.attrs.get("aria-current") == "page" or target.rstrip("/") == url.rstrip("/")
         found.append((a.text().strip(), target, current, i))
-    return (head.text().strip() if head else ""), (urljoin(url, link.attrs.get("href", "")) if link else ""), found
+    more = any(n.tag == "button" and n.attrs.get("data-testid") == "sibling-chevron-down" for n in nav.walk())
+    return (head.text().strip() if head else ""), (urljoin(url, link.attrs.get("href", "")) if link else ""), found, more
+
+
+def links_of(root: dom.Node, url: str) -> list[str]:
+    """Absolute targets of the links in the first of LINK_PLACES that has links, in order, repetitions included."""
+    for place in LINK_PLACES:
+        links = dict.fromkeys(a for holder in dom.all_of(root, place) for a in holder.walk() if a.tag == "a")
+        if links:
+            return [urljoin(url, a.attrs["href"]) for a in links if a.attrs.get("href")]
+    return []
+
+
+def page_title_of(root: dom.Node) -> str | None:
+    """Text of the first element that one of PAGE_TITLES finds, empty or not."""
+    for place in PAGE_TITLES:
+        if node := dom.first(root, place):
+            return node.text().strip()
+    return None
 
 
 def emphasised(content: dom.Node) -> list[str]:
@@ -200,7 +234,8 @@ def page_of(html: str | None, url: str | None, variable: str) -> dict:
     root = dom.parse(html)
     state = state_of(html, variable)
     title, crumbs = title_of(root, state), breadcrumbs_of(root)
-    heading, section, siblings = siblings_of(root, url)
+    heading, section, siblings, has_more = siblings_of(root, url)
+    page_title, page_links, page_text = page_title_of(root), links_of(root, url), root.text()
     navigation = list(dict.fromkeys([t for _, t, _, _ in siblings] + ([section] if section else [])))
     stated = find_content(state) if state is not None else None
     content = dom.parse(stated) if stated else main_content(root)
@@ -212,7 +247,7 @@ def page_of(html: str | None, url: str | None, variable: str) -> dict:
     return {
         "title": title, "content_html_length": size, "content_text": re.sub(r"\s+", " ", content.text(" ")).strip() if content else "", "markdown": told, "images": images,
         "links": [{"text": t, "url": u} for t, u in links], "navigation": navigation, "breadcrumbs": [{"position": p, "name": n, "url": u} for p, n, u in crumbs],
-        "emphasis": emphasis, "section_heading": heading, "section_url": section, "siblings": [{"title": t, "url": u, "is_current": c, "position": p} for t, u, c, p in siblings],
+        "emphasis": emphasis, "section_heading": heading, "section_url": section, "has_more": has_more, "page_title": page_title, "page_links": page_links, "page_text": page_text, "siblings": [{"title": t, "url": u, "is_current": c, "position": p} for t, u, c, p in siblings],
     }
 
 
@@ -228,6 +263,13 @@ def pages(rows: DataFrame, variable: str = "__STATE__") -> DataFrame:
     return rows.select("page_id", "url", "html").mapInArrow(run, f"page_id long, url string, {SCHEMA}")
 
 
+def documentation_links(pages: DataFrame, base: str) -> DataFrame:
+    """pages of SCHEMA -> page_id, link: the navigation's and the page's own links together, normalised, each once, as far as they are
+    documentation below base."""
+    every = F.array_union("navigation", "page_links")
+    return pages.select("page_id", F.explode(F.array_distinct(F.transform(every, U.normalize))).alias("link")).where(U.is_documentation(F.col("link"), base))
+
+
 def large_enough(html: Column, least: int = 1000) -> Column:
     return F.coalesce(F.length(html) >= least, F.lit(False))
 

@@ -4,16 +4,24 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only local masters, as in tests, may go without that setting."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="docspark-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in spark.checkpoint.dir. Only local masters, as in tests, may go without that setting."""
-    spark = df.sparkSession
-    context = spark.sparkContext
+    """A checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if root is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(root or tempfile.mkdtemp(prefix="docspark-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()

@@ -16,15 +16,19 @@ LINK = r"\[([^\]]+)\]\(([^)]+)\)"
 WIKILINK = r"\[\[([^|]+?)\|([^\]]+)\]\]"
 #: Broadcast a map only up to this many rows; beyond, joins shuffle.
 BROADCAST_ROWS = 200_000
+#: Turns of an iteration whose results are merged in one table.
+MERGED = 32
 
 
 def trimmed(url: Column) -> Column:
     return F.regexp_replace(url, "/+$", "")
 
 
-def next_hops(redirects: DataFrame) -> DataFrame:
-    """cur, nxt: where a URL goes in one hop. Its own redirect counts first, then that of its form with a slash, then without."""
-    known = redirects.where("src is not null and dst is not null").groupBy("src").agg(F.max("dst").alias("dst"))
+def next_hops(redirects: DataFrame, order: str | None = None) -> DataFrame:
+    """cur, nxt: where a URL goes in one hop. Its own redirect counts first, then that of its form with a slash, then without. Of
+    redirects that conflict the latest by `order` counts; without an order the largest."""
+    latest = F.max("dst") if order is None else F.max(F.struct(order, "dst"))["dst"]
+    known = redirects.where("src is not null and dst is not null").groupBy("src").agg(latest.alias("dst"))
     bare = trimmed(F.col("src"))
     forms = known.select(bare.alias("_k"), (F.col("src") == bare).alias("_plain"), trimmed(F.col("dst")).alias("_d"))
     both = forms.groupBy("_k").agg(F.max(F.when(F.col("_plain"), F.col("_d"))).alias("_p"), F.max(F.when(~F.col("_plain"), F.col("_d"))).alias("_s"))
@@ -32,22 +36,23 @@ def next_hops(redirects: DataFrame) -> DataFrame:
     return plain.union(both.select(F.concat("_k", F.lit("/")).alias("cur"), F.coalesce("_s", "_p").alias("nxt")))
 
 
-def redirect_closure(starts: DataFrame, redirects: DataFrame, hops: int = 50) -> DataFrame:
+def redirect_closure(starts: DataFrame, redirects: DataFrame, order: str | None = None) -> DataFrame:
     """starts(url), redirects(src, dst) -> url, final, hops. Targets lose their slash; a URL without a redirect stays as it is;
-    loops stop before the first repetition. A path still under way after `hops` hops raises an error.
+    loops stop before the first repetition. Paths may be of any length.
 
     Each turn is one join of the paths that still move, written out so that plans stay short and finished paths are done with.
     """
-    edges = cut(next_hops(redirects))
+    edges = cut(next_hops(redirects, order))
     now = starts.where("url is not null").distinct().select("url", F.col("url").alias("final"), F.lit(0).alias("hops"), F.array(trimmed(F.col("url"))).alias("seen"))
     done = []
-    for _ in range(hops + 1):
+    while True:
         step = cut(now.join(edges.withColumnRenamed("cur", "final"), "final", "left").withColumn("goes", F.col("nxt").isNotNull() & ~F.array_contains("seen", F.coalesce("nxt", F.lit("")))))
         done.append(step.where("not goes").select("url", F.when(F.col("nxt").isNotNull(), trimmed(F.col("final"))).otherwise(F.col("final")).alias("final"), "hops"))
         now = step.where("goes").select("url", F.col("nxt").alias("final"), (F.col("hops") + 1).alias("hops"), F.concat("seen", F.array("nxt")).alias("seen"))
         if now.isEmpty():
             return reduce(DataFrame.union, done)
-    raise ValueError(f"redirects of more than {hops} hops")
+        if len(done) % MERGED == 0:
+            done = [cut(reduce(DataFrame.union, done))]
 
 
 def closure_sql(edges: str, starts: str, depth: int = 50) -> str:
@@ -103,45 +108,91 @@ def resolve(links: DataFrame, pages: DataFrame, base: str) -> DataFrame:
     return links.join(rows.withColumnRenamed("url", "_u").withColumnRenamed("text", "_t"), F.col("url").eqNullSafe(F.col("_u")) & F.col("text").eqNullSafe(F.col("_t")), "left").drop("_u", "_t")
 
 
+def grams(text: Column, n: int) -> Column:
+    """The distinct runs of n characters of a text."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, n)))
+
+
+def containing(targets: DataFrame, urls: DataFrame) -> DataFrame:
+    """targets(target), urls(_url, ...) -> target and the columns of urls that contain it. Each target meets the URLs by the rarest of its
+    runs of three characters (of its own length, if shorter), so that no pair is made without one in common."""
+    size = F.least(F.length("target"), F.lit(3))
+    wanted = targets.select("target", size.alias("_n"), F.explode(F.when(size == 3, grams(F.col("target"), 3)).otherwise(F.array("target"))).alias("_g"))
+    lengths = F.array(*(grams(F.col("_url"), n) for n in (1, 2, 3)))
+    posted = urls.select("*", F.explode(F.array_distinct(F.flatten(lengths))).alias("_g"))
+    often = posted.join(wanted.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_c"))
+    rarest = wanted.join(often, "_g", "left").groupBy("target").agg(F.min(F.struct(F.coalesce("_c", F.lit(0)).alias("c"), "_g")).alias("r")).select("target", "r._g")
+    return posted.join(rarest, "_g").where(F.col("_url").contains(F.col("target"))).drop("_g")
+
+
 def repair(targets: DataFrame, pages: DataFrame) -> DataFrame:
     """targets(target) without a slash -> target, file: the first page, in the order of ord, whose file name is the target or its
-    title, or whose URL contains it. Names meet in an equi-join; only the URLs' containment is tested pairwise, for distinct
-    targets against a map of checked size in turn."""
+    title, or whose URL contains it. Names meet in an equi-join, URLs by runs of characters."""
     mapped = url_map(pages)
     wanted = targets.where("instr(target, '/') = 0 and target <> ''").select("target").distinct().withColumns({"_low": F.lower("target"), "_titled": F.lower(P.slug_title(F.col("target")))})
     names = mapped.select(F.lower("_name").alias("_n"), "_file", "ord")
     by_name = wanted.select("target", F.explode(F.array_distinct(F.array("_low", "_titled"))).alias("_n")).join(names, "_n").select("target", "_file", "ord")
-    by_url = wanted.select("target", "_low").join(_sized(mapped.select(F.lower("_key").alias("_url"), "_file", "ord")), F.col("_url").contains(F.col("_low"))).select("target", "_file", "ord")
+    by_url = containing(wanted.select("target"), mapped.select(F.lower("_key").alias("_url"), "_file", "ord")).select("target", "_file", "ord")
     return by_name.union(by_url).groupBy("target").agg(F.min_by("_file", "ord").alias("file"))
 
 
+def repaired(docs: DataFrame, pages: DataFrame, key: str = "doc_id", checks: DataFrame | None = None, base: str = "") -> DataFrame:
+    """docs(key, file_path, text) with the wikilinks whose target has no slash led to the page that repair() finds, or else to the one that
+    verified() finds among checks(url, final_url), relative to the document's own file. Other wikilinks stay as they are."""
+    m = F.regexp_extract_all(F.col("text"), F.lit(WIKILINK), F.lit(0))
+    part = lambda k: F.trim(F.regexp_extract("_m", WIKILINK, k))
+    own = docs.select(key, F.posexplode(m).alias("ord", "_m")).select(key, "ord", "_m", part(1).alias("target"), part(2).alias("told"))
+    files = repair(own.select("target"), pages)
+    if checks is not None:
+        rest = own.where("instr(target, '/') = 0").select("target").distinct().join(files, "target", "left_anti")
+        files = files.union(verified(rest, checks, pages, base))
+    led = own.join(files, "target", "left")
+    parts = led.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "_m", "told", "file"))).alias("_links"))
+    put = F.transform("_links", lambda l: F.when(l["file"].isNull(), l["_m"]).otherwise(F.concat(F.lit("[["), P.relative(F.col("file_path"), l["file"]), F.lit("|"), l["told"], F.lit("]]"))))  # noqa: E741
+    return _put_back(docs.join(parts, key, "left"), WIKILINK, put, "_links")
+
+
+def _put_back(rows: DataFrame, pattern: str, put: Column, links: str) -> DataFrame:
+    """text with its matches of the pattern replaced in order by the array `put`; rows without `links` stay."""
+    joined = F.array_join(F.flatten(F.zip_with(F.split("text", pattern, -1), put, lambda a, m: F.array(F.coalesce(a, F.lit("")), F.coalesce(m, F.lit(""))))), "")
+    return rows.withColumn("text", F.when(F.col(links).isNotNull(), joined).otherwise(F.col("text"))).drop(links)
+
+
 def found_links(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """key, ord, text, url of each Markdown link, in order."""
     m = F.regexp_extract_all(F.col(text), F.lit(LINK), F.lit(0))
     return docs.select(key, F.posexplode(m).alias("ord", "_m")).select(key, "ord", F.regexp_extract("_m", LINK, 1).alias("text"), F.regexp_extract("_m", LINK, 2).alias("url"))
 
 
-def convert(docs: DataFrame, pages: DataFrame, base: str, key: str = "doc_id") -> DataFrame:
-    """docs(key, file_path, text) with the text's links below base as wikilinks, relative to the document's own file."""
+def convert(docs: DataFrame, pages: DataFrame, base: str, key: str = "doc_id", checks: DataFrame | None = None) -> DataFrame:
+    """docs(key, file_path, text): wikilinks are repaired first, then the text's links below base become wikilinks, relative to the
+    document's own file."""
+    docs = cut(repaired(docs, pages, key, checks, base))
     resolved = resolve(found_links(docs, key), pages, base)
     parts = resolved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", "url", "text", "target"))).alias("_links"))
     put = F.transform("_links", lambda l: F.when(l["target"].isNull(), F.concat(F.lit("["), l["text"], F.lit("]("), l["url"], F.lit(")"))).otherwise(F.concat(F.lit("[["), P.relative(F.col("file_path"), l["target"]), F.lit("|"), l["text"], F.lit("]]"))))  # noqa: E741
-    rows = docs.join(parts, key, "left")
-    joined = F.array_join(F.flatten(F.zip_with(F.split("text", LINK, -1), put, lambda a, m: F.array(F.coalesce(a, F.lit("")), F.coalesce(m, F.lit(""))))), "")
-    return rows.withColumn("text", F.when(F.col("_links").isNotNull(), joined).otherwise(F.col("text"))).drop("_links")
+    return _put_back(docs.join(parts, key, "left"), LINK, put, "_links")
+
+
+#: The forms of an image reference: `![alt](url)`, `![[url|alt]]`, `src="url"`.
+IMAGE_FORMS = (r"!\[[^\]]*\]\(([^)\s]+)\)", r"!\[\[([^|\]]+)\|[^\]]*\]\]", r'src="([^"]*)"')
 
 
 def image_references(docs: DataFrame, images: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs(key, text) with `![alt](url)` of stored images(url, local_path) as `![[local]]`. The images of a text meet the map by an
-    equi-join, never every image every text."""
-    pattern = r"!\[([^\]]*)\]\(([^)\s]+)\)"
+    """docs(key, text) with references to stored images(url, local_path) led to their files: `![alt](url)`, also with the URL's form
+    without a protocol, and `![[url|alt]]` become `![[local]]`, `src="url"` becomes `src="local"`. The references of a text meet the map by
+    an equi-join, never every image every text. Of images with one URL the smallest path counts."""
+    pattern = "|".join(IMAGE_FORMS)
     m = F.regexp_extract_all(F.col("text"), F.lit(pattern), F.lit(0))
-    refs = docs.select(key, F.posexplode(m).alias("ord", "_m")).withColumn("url", F.regexp_extract("_m", pattern, 2))
-    hit = refs.withColumn("_k", F.regexp_replace("url", "^https?:", "")).join(images.select(F.regexp_replace("url", "^https?:", "").alias("_k"), "local_path").dropDuplicates(["_k"]), "_k", "left")
-    parts = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", F.when(F.col("local_path").isNotNull(), F.concat(F.lit("![["), F.col("local_path"), F.lit("]]"))).otherwise(F.col("_m")).alias("put")))).alias("_refs"))
-    rows = docs.join(parts, key, "left")
-    joined = F.array_join(F.flatten(F.zip_with(F.split("text", pattern, -1), F.col("_refs.put"), lambda a, p: F.array(F.coalesce(a, F.lit("")), F.coalesce(p, F.lit(""))))), "")
-    return rows.withColumn("text", F.when(F.col("_refs").isNotNull(), joined).otherwise(F.col("text"))).drop("_refs")
+    plain, wiki, html = (F.regexp_extract("_m", "^(?:" + form + ")$", 1) for form in IMAGE_FORMS)
+    refs = docs.select(key, F.posexplode(m).alias("ord", "_m"))
+    refs = refs.select(key, "ord", "_m", F.coalesce(F.nullif(plain, F.lit("")), F.nullif(wiki, F.lit("")), html).alias("_k"), (plain != "").alias("_plain"), F.col("_m").startswith("src=").alias("_html"))
+    known = images.where("url is not null and local_path is not null").groupBy(F.col("url").alias("_k")).agg(F.min("local_path").alias("local_path"))
+    bare = known.where(F.col("_k").rlike("^https?://")).groupBy(F.regexp_replace("_k", "^https?:", "").alias("_k")).agg(F.min("local_path").alias("_bare"))
+    hit = refs.join(known, "_k", "left").join(bare, "_k", "left").withColumn("_local", F.coalesce("local_path", F.when(F.col("_plain"), F.col("_bare"))))
+    put = F.when(F.col("_local").isNull(), F.col("_m")).when(F.col("_html"), F.concat(F.lit('src="'), "_local", F.lit('"'))).otherwise(F.concat(F.lit("![["), "_local", F.lit("]]")))
+    parts = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", put.alias("put")))).alias("_refs"))
+    return _put_back(docs.join(parts, key, "left"), pattern, F.col("_refs.put"), "_refs")
 
 
 def redirect_note(source: Column, final: Column, file: Column) -> Column:

@@ -130,17 +130,18 @@ def inline_html(text: str, out: list[Issue]) -> str:
 
 
 def callout_empty_line(text: str, out: list[Issue]) -> str:
-    lines, told = text.split("\n"), False
+    """Single blank lines between lines that start with `>`, indented ones too; each callout is told once."""
+    lines, inside, told = text.split("\n"), False, False
+    quoted = [line.strip().startswith(">") for line in lines]
     for i, line in enumerate(lines):
-        if line.startswith(">"):
-            continue
-        inside = i > 0 and lines[i - 1].startswith(">")
-        if not line.strip() and inside and i + 1 < len(lines) and lines[i + 1].startswith(">"):
+        if quoted[i]:
+            told, inside = told and inside, True
+        elif inside and not line.strip() and i + 1 < len(lines) and quoted[i + 1]:
             if not told:
                 out.append((i + 1, "callout_empty_line", "blank line inside a callout", "", ">"))
             lines[i], told = ">", True
         else:
-            told = False
+            inside = False
     return "\n".join(lines)
 
 
@@ -177,9 +178,9 @@ def numbered_list_sequence(text: str, out: list[Issue]) -> str:
     for i, line in enumerate(lines):
         if m := re.match(NUMBERED, line.strip()):
             n += 1
-            if int(m[1]) != n:
-                fixed = f"{n}. {m[2]}"
-                out.append((i + 1, "numbered_list_sequence", "number out of sequence", line, fixed))
+            fixed = f"{n}. {m[2]}"
+            if line.strip() != fixed:
+                out.append((i + 1, "numbered_list_sequence", "number out of sequence", line.strip(), fixed))
                 lines[i] = fixed
         elif line.strip():
             n = 0
@@ -207,15 +208,16 @@ def lint_text(text: str | None, passes=PASSES) -> tuple[str, list[Issue]]:
     return text, found
 
 
-def lint(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """docs -> key, fixed, changed, issues. Null counts as empty text."""
+def lint(docs: DataFrame, key: str, text: str = "text", passes=PASSES, auto_fix: bool = True) -> DataFrame:
+    """docs -> key, fixed, changed, issues. Null counts as empty text. Without auto_fix the texts stay and issues are only told."""
     names = [key, "fixed", "changed", "issues"]
 
     def run(batches):
         for batch in batches:
             fixed, issues, changed = [], [], []
             for t in batch.column("_text").to_pylist():
-                new, found = lint_text(t)
+                new, found = lint_text(t, passes)
+                new = new if auto_fix else t or ""
                 fixed.append(new)
                 changed.append(new != (t or ""))
                 issues.append([dict(zip(("line_number", "issue_type", "description", "original", "fixed"), x, strict=True)) for x in found])
@@ -230,9 +232,42 @@ def issues(linted: DataFrame, key: str) -> DataFrame:
     return linted.select(key, F.posexplode("issues").alias("ord", "i")).select(key, "ord", "i.*")
 
 
-def counts(found: DataFrame) -> DataFrame:
-    """Issues of each type."""
-    return found.groupBy("issue_type").agg(F.count("*").alias("n"))
+def counts(found: DataFrame, key: str = "doc_id") -> DataFrame:
+    """issue_type, n, rank: issues of each type, the commonest first, of equals the one that comes first by document and place."""
+    each = found.groupBy("issue_type").agg(F.count("*").alias("n"), F.min(F.struct(key, "ord")).alias("first"))
+    # As many rows as there are rules.
+    return each.select("issue_type", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first", "issue_type")).alias("rank"))
+
+
+def totals(found: DataFrame, key: str) -> DataFrame:
+    """One row: documents with issues, and issues."""
+    return found.agg(F.countDistinct(key).alias("files"), F.count("*").alias("issues"))
+
+
+def report_lines(found: DataFrame, key: str, most: int = 5) -> DataFrame:
+    """The report as (part, name, ord, line), to be written in this order: totals, types by count, then documents by name with their
+    first `most` issues. Without issues the only line says so."""
+    line = lambda part, name, ord_, text: (F.lit(part).alias("part"), name.alias("name"), ord_.cast("long").alias("ord"), text.alias("line"))
+    all_ = totals(found, key)
+    none = F.col("issues") == 0
+    head = F.when(none, F.array(F.lit("No linting issues found!"))).otherwise(F.array(
+        F.lit("# Markdown Linting Report\n"), F.concat(F.lit("Total files with issues: "), F.col("files").cast("string")), F.concat(F.lit("Total issues found: "), F.col("issues").cast("string"), F.lit("\n")), F.lit("## Issues by Type"),
+    ))
+    top = all_.select(F.posexplode(head).alias("p", "l")).select(*line(0, F.lit(""), F.col("p"), F.col("l")))
+    types = counts(found, key).select(*line(1, F.lit(""), F.col("rank"), F.concat(F.lit("- "), "issue_type", F.lit(": "), F.col("n").cast("string"))))
+    title = all_.where("issues > 0").select(*line(2, F.lit(""), F.lit(0), F.lit("\n## Files with Issues")))
+    files = found.groupBy(key).agg(F.count("*").alias("n"))
+    name = F.col(key).cast("string")
+    heads = files.select(*line(3, name, F.lit(-1), F.concat(F.lit("\n### "), name)))
+    own = found.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where(F.col("rank") <= most)
+    told = own.select(*line(3, name, F.col("rank"), F.concat(F.lit("- Line "), F.col("line_number").cast("string"), F.lit(": "), "description")))
+    more = files.where(F.col("n") > most).select(*line(3, name, F.lit(most + 1), F.concat(F.lit("- ... and "), (F.col("n") - most).cast("string"), F.lit(" more issues"))))
+    return top.union(types).union(title).union(heads).union(told).union(more)
+
+
+def write_report(found: DataFrame, key: str, path: str, most: int = 5) -> None:
+    """Writes the report as text, in order, over as many files as the sort has parts."""
+    report_lines(found, key, most).orderBy("part", "name", "ord").select("line").write.text(path)
 
 
 def report(found: DataFrame, key: str, most: int = 5) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docspark.functions import tags as G
 from docspark.functions import text as X
 from docspark.operators import index, links, lint, tagging
+from docspark.plans.pages import _title_sql
 from docspark.plans.registry import query, table
 
 # ---- tags ----
@@ -34,82 +35,55 @@ def q_technical_patterns(spark, sf_dir):
 
 
 # Words of ASCII letters only: word borders next to other letters differ between engines.
-_PURE = r"regexp_replace(text, '[^\x00-\x7F]+', '0', 'g')"
+_PURE = r"regexp_replace(coalesce(text, ''), '[^\x00-\x7F]+', '0', 'g')"
 _TERMS = rf"""
 w AS (SELECT doc_id, list_transform(regexp_extract_all({_PURE}, '\b[a-zA-Z][a-zA-Z0-9_-]+\b'), lambda w: lower(w)) AS ws FROM documents),
 t AS (SELECT doc_id, unnest(list_filter(ws, lambda w: length(w) > 3 AND w NOT IN ({_STOP}))) AS term, generate_subscripts(list_filter(ws, lambda w: length(w) > 3 AND w NOT IN ({_STOP})), 1) AS pos FROM w),
 c AS (SELECT doc_id, term, count(*) AS n, CAST(min(pos) - 1 AS INT) AS first FROM t GROUP BY doc_id, term)"""
 
 
-def _term_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", r"[^\x00-\x7F]+", "0").alias("text"))
-    return tagging.term_counts(docs, "doc_id")
+def _ascii(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]+", "0").alias("ascii"))
 
 
 @query(f"WITH {_TERMS} SELECT * FROM c")
 def q_term_freq(spark, sf_dir):
-    return _term_counts(spark, sf_dir)
+    return tagging.term_counts(_ascii(spark, sf_dir).select("doc_id", F.col("ascii").alias("text")), "doc_id")
 
 
-_TOP = "r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k FROM c)"
+_TAG = "regexp_replace(regexp_replace(term, '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g')"
+_OWN = f"h AS (SELECT doc_id, list_concat(list_distinct([source]), ({_category_sql("lower(coalesce(text, ''))")})[1:2]) AS own FROM documents)"
+_TOP = f"""r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS k, {_TAG} AS tag FROM c),
+g AS (SELECT r.doc_id, tag, row_number() OVER (PARTITION BY r.doc_id ORDER BY k) AS rank FROM r JOIN h ON h.doc_id = r.doc_id WHERE k <= 5 AND n >= 3 AND NOT list_contains(own, tag))"""
 
 
-@query(f"WITH {_TERMS}, {_TOP} SELECT doc_id, term, n, CAST(k AS INT) AS rank FROM r WHERE k <= 2 AND n >= 3")
-def q_top_terms(spark, sf_dir):
-    return tagging.top_terms(_term_counts(spark, sf_dir), "doc_id").select("doc_id", "term", "n", "rank")
-
-
-def _tags_sql(text: str) -> str:
-    return f"""
-WITH {_TERMS}, {_TOP},
-f AS (SELECT doc_id, list(term ORDER BY k) AS found FROM r WHERE k <= 2 AND n >= 3 GROUP BY doc_id),
-h AS (SELECT doc_id, list_distinct([source]) AS tags, {_category_sql(f'lower({text})')} AS cats FROM documents)
-SELECT h.doc_id, array_to_string(list_concat(list_concat(tags, cats[1:2]), list_filter(coalesce(found, []), lambda t: NOT list_contains(list_concat(tags, cats[1:2]), t)))[1:10], ',') AS tags
-FROM h LEFT JOIN f ON f.doc_id = h.doc_id
-"""
+def _tagged(spark, sf_dir):
+    """own: product and categories; top: the document's own terms that are none of these."""
+    rows = _ascii(spark, sf_dir)
+    own = G.hierarchical(F.col("source"), F.coalesce("text", F.lit("")), F.lit(""), F.lit(None).cast("array<string>"))
+    rows = rows.select("doc_id", own.alias("own"), tagging.counted(G.terms(F.col("ascii"))).alias("counts"))
+    return rows.select("doc_id", "own", tagging.top_terms(F.col("counts"), F.col("own")).alias("top"))
 
 
-def _tags_final(spark, sf_dir, text):
-    """Product and categories first, then the document's own terms."""
-    own = table(spark, sf_dir, "documents").select("doc_id", G.hierarchical(F.col("source"), text, F.lit(""), F.lit(None).cast("array<string>")).alias("tags"))
-    top = tagging.top_terms(_term_counts(spark, sf_dir), "doc_id")
-    found = top.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda s: s["term"]).alias("found"))
-    joined = own.join(found, "doc_id", "left")
-    return joined.select("doc_id", F.array_join(G.final(F.col("tags"), F.coalesce("found", F.array().cast("array<string>"))), ",").alias("tags"))
+@query(f"WITH {_TERMS}, {_OWN}, {_TOP} SELECT doc_id, CAST(rank AS INT) AS rank, tag FROM g WHERE rank <= 2")
+def q_top_terms(spark, sf_dir):
+    return _tagged(spark, sf_dir).select("doc_id", F.posexplode("top").alias("i", "tag")).select("doc_id", (F.col("i") + 1).alias("rank"), "tag")
 
 
-@query(_tags_sql("left(text, 100)"))
+@query(f"""
+WITH {_TERMS}, {_OWN}, {_TOP}, f AS (SELECT doc_id, list(tag ORDER BY rank) AS found FROM g WHERE rank <= 2 GROUP BY doc_id)
+SELECT h.doc_id, array_to_string(list_concat(own, CASE WHEN len(found) = 2 AND found[1] = found[2] THEN found[1:1] ELSE coalesce(found, []) END)[1:10], ',') AS tags FROM h LEFT JOIN f ON f.doc_id = h.doc_id
+""")
 def q_tags_final(spark, sf_dir):
-    return _tags_final(spark, sf_dir, F.left("text", F.lit(100)))
-
-
-@query(_tags_sql("coalesce(text, '')"))
-def q_tags_final_whole(spark, sf_dir):
-    return _tags_final(spark, sf_dir, F.coalesce("text", F.lit("")))
-
-
-@query("""SELECT doc_id, '---' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || chr(10) || '- b' || chr(10) || '---' || chr(10) || left(text, 20) || chr(10) || 'k:' || chr(10) || chr(10) || '- x' AS fixed FROM documents""")
-def q_yaml_fix(spark, sf_dir):
-    text = F.concat(F.lit("---\ntags:\n\n- a\n\n- b\n---\n"), F.left("text", F.lit(20)), F.lit("\nk:\n\n- x"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
+    return _tagged(spark, sf_dir).select("doc_id", F.array_join(G.final(F.col("own"), F.col("top")), ",").alias("tags"))
 
 
 @query("""SELECT doc_id, '---' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || chr(10) || '- b' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || 'k:' || chr(10) || chr(10) || '- x' AS fixed FROM documents""")
-def q_yaml_fix_whole(spark, sf_dir):
+def q_yaml_fix(spark, sf_dir):
     text = F.concat(F.lit("---\ntags:\n\n- a\n\n- b\n---\n"), F.coalesce("text", F.lit("")), F.lit("\nk:\n\n- x"))
     return table(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
 
 
-@query(r"""
-WITH t AS (SELECT doc_id, regexp_replace(text, '[^a-zA-Z]+', ' ', 'g') AS w FROM documents)
-SELECT doc_id, trim('# ' || left(w, 10), ' ') || chr(10) || chr(10) || 'a' || chr(10) || chr(10) || chr(10) || '- b' || chr(10) || chr(10) || '1. c' || chr(10) || chr(10) || '1. d' AS fixed FROM t
-""")
-def q_clean_markdown(spark, sf_dir):
-    w = F.regexp_replace("text", "[^a-zA-Z]+", " ")
-    text = F.concat(F.lit("# "), F.left(w, F.lit(10)), F.lit("\na  \n\n\n\n- b\n3. c\n7. d\n\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
-
-
 # The steps one after the other; step 2 leaves no heading right behind another, so that step 3 may take the next character along.
 _CLEAN = "coalesce(text, '') || chr(10) || 'a  ' || repeat(chr(10), 4) || '- b' || chr(10) || '3. c' || chr(10) || '7. d' || chr(10) || chr(10)"
 for _pattern, _new in ((r"\n{3,}", r"\n\n"), (r"\n(#{1,6} )", r"\n\n\1"), (r"(#{1,6} [^\n]+)\n([^\n]|\z)", r"\1\n\n\2"), (r"\n(- )", r"\n\n\1"), (r"\n\d+\. ", r"\n\n1. "), (r"(?m)[ \t]+$", ""), (r"^\s+|\s+$", "")):
@@ -118,7 +92,7 @@ for _pattern, _new in ((r"\n{3,}", r"\n\n"), (r"\n(#{1,6} )", r"\n\n\1"), (r"(#{
 
 
 @query(f"SELECT doc_id, {_CLEAN} AS fixed FROM documents")
-def q_clean_markdown_whole(spark, sf_dir):
+def q_clean_markdown(spark, sf_dir):
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\na  \n\n\n\n- b\n3. c\n7. d\n\n"))
     return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
 
@@ -159,14 +133,12 @@ def _event_links(spark, sf_dir):
 WITH {_VAULT}, {_LINKS},
 m AS (SELECT url AS k, replace(file_path, '.md', '') AS f FROM v), t AS (SELECT lower(title) AS k, replace(file_path, '.md', '') AS f FROM v WHERE title IS NOT NULL),
 x AS (SELECT event_id, text, url, regexp_replace(url, '/+$', '') AS own, starts_with(url, '{BASE}') AS inside, regexp_replace(regexp_replace(url, '/+$', ''), '^{BASE}/?(docs/|resources/)?', '') AS rest FROM l)
-SELECT event_id, CASE WHEN NOT inside THEN NULL ELSE coalesce(m1.f, CASE WHEN own = '{BASE}' THEN 'index' END, m2.f, m3.f, t.f, 'X ' || event_id) END AS target,
+SELECT event_id, CASE WHEN NOT inside THEN NULL ELSE coalesce(m1.f, CASE WHEN own = '{BASE}' THEN 'index' END, m2.f, m3.f, t.f, {_title_sql("list_extract(string_split(own, '/'), -1)")}) END AS target,
   CASE WHEN NOT inside THEN 'external' WHEN m1.f IS NOT NULL THEN 'exact' WHEN own = '{BASE}' THEN 'home' WHEN m2.f IS NOT NULL THEN 'docs' WHEN m3.f IS NOT NULL THEN 'resources' WHEN t.f IS NOT NULL THEN 'title' ELSE 'slug' END AS rule
 FROM x LEFT JOIN m m1 ON inside AND m1.k = own LEFT JOIN m m2 ON inside AND m2.k = '{BASE}/docs/' || rest LEFT JOIN m m3 ON inside AND m3.k = '{BASE}/resources/' || rest LEFT JOIN t ON inside AND t.k = text
-WHERE NOT (coalesce(m1.f, m2.f, m3.f, t.f) IS NULL AND inside AND own <> '{BASE}' AND rest NOT LIKE 'x-%')
 """)
 def q_link_resolve(spark, sf_dir):
-    rows = links.resolve(_event_links(spark, sf_dir), _vault(spark, sf_dir), BASE)
-    return rows.where("rule <> 'slug' or url like '%/x-%'").select("event_id", "target", "rule")
+    return links.resolve(_event_links(spark, sf_dir), _vault(spark, sf_dir), BASE).select("event_id", "target", "rule")
 
 
 @query(f"WITH {_VAULT} SELECT count(*) AS urls, count(DISTINCT lower(title)) AS titles, count(DISTINCT file_path) AS paths FROM v")
@@ -199,20 +171,49 @@ def q_wikilink_convert(spark, sf_dir):
     return links.convert(docs, v, BASE).select("doc_id", "text")
 
 
-@query("SELECT doc_id, 'a ![[images/' || (doc_id % 50) || '.png]] b ![y](https://i/none.png)' AS text FROM documents")
+@query("""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, 'images/' || (doc_id % 50) || '.png' AS l, 'https://i/' || (doc_id % 50) || '.png' AS u FROM documents)
+SELECT doc_id, t || ' a ![[' || l || ']] ![[' || l || ']] ![[' || l || ']] <img src="' || l || '"> b ![y](https://i/none.png) ![[//i/' || (doc_id % 50) || '.png|z]] ' || t AS text FROM d
+""")
 def q_image_refs(spark, sf_dir):
-    k = (F.col("doc_id") % 50).cast("string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("a ![x](https://i/"), k, F.lit(".png) b ![y](https://i/none.png)")).alias("text"))
+    """Whole texts with references in all forms."""
+    k = F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".png"))
+    t = F.coalesce("text", F.lit(""))
+    parts = (t, F.lit(" a ![x](https://i/"), k, F.lit(") ![](//i/"), k, F.lit(") ![[https://i/"), k, F.lit('|alt]] <img src="https://i/'), k, F.lit('"> b ![y](https://i/none.png) ![[//i/'), k, F.lit("|z]] "), t)
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
     images = spark.range(50).select(F.concat(F.lit("https://i/"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".png")).alias("local_path"))
     return links.image_references(docs, images).select("doc_id", "text")
 
 
-@query("SELECT doc_id, '[[guides/x-' || doc_id || '|Text]] [[resources/r|R]] [y](http://o/z)' AS text FROM documents")
+@query("""SELECT doc_id, 'x ' || coalesce(text, '') || ' [[guides/x-' || doc_id || '|Text]] [[resources/r|R]] [y](http://o/z)' AS text FROM documents""")
 def q_slug_wikilinks(spark, sf_dir):
-    text = F.concat(F.lit("[Text](https://s/p/guides/x-"), F.col("doc_id").cast("string"), F.lit('/) [R](https://s/p/resources/r "t") [y](http://o/z)'))
+    text = F.concat(F.lit("x "), F.coalesce("text", F.lit("")), F.lit(" [Text](https://s/p/guides/x-"), F.col("doc_id").cast("string"), F.lit('/) [R](https://s/p/resources/r "t") [y](http://o/z)'))
     return table(spark, sf_dir, "documents").select("doc_id", X.wikilinks(text, BASE).alias("text"))
 
 
+@query("""SELECT doc_id, 'x ' || coalesce(text, '') || ' [[Get Started|T]] [[A to Z|u]] [[What is X ' || doc_id || '|A]] [[resources/R Y|B]] [[Q|C]] [[index|H]] [y](http://o/z)' AS text FROM documents""")
+def q_titled_wikilinks(spark, sf_dir):
+    """Bent wikilinks and links below the base behind the whole text of each document."""
+    n = F.col("doc_id").cast("string")
+    bent = F.lit(' [[get-started/ "u"|T]] [[a-to-z/|u]] [A](https://s/p/docs/what-is-x-')
+    text = F.concat(F.lit("x "), F.coalesce("text", F.lit("")), bent, n, F.lit('/) [B](https://s/p/resources/r-y "t") [C](https://s/p/q) [H](https://s/p/) [y](http://o/z)'))
+    return table(spark, sf_dir, "documents").select("doc_id", X.titled_wikilinks(text, BASE).alias("text"))
+
+
+@query(f"""
+WITH {_VAULT}, n AS (SELECT count(*) AS c FROM v), o AS (SELECT v.ord, (v.ord * 3 + 1) % c AS m FROM v, n)
+SELECT ord AS doc_id, 'See [[' || CASE WHEN m % 7 = ord % 7 THEN 'Page ' || m ELSE '../' || (m % 7) || '/Page ' || m END || '|next]] [[' || CASE WHEN m % 7 = ord % 7 THEN 'Page ' || m ELSE '../' || (m % 7) || '/Page ' || m END
+  || '|by name]] [[nothing-here-' || ord || '|q]] [[a/b|c]]' AS text FROM o
+""")
+def q_wikilink_repair_docs(spark, sf_dir):
+    """Each page links to another one by slug and by name, and to nothing."""
+    v = _vault(spark, sf_dir)
+    m = ((F.col("ord") * 3 + 1) % F.col("n")).cast("string")
+    docs = v.join(v.agg(F.count("*").alias("n")), F.lit(True))
+    docs = docs.select(F.col("ord").alias("doc_id"), "file_path", F.concat(F.lit("See [[page-"), m, F.lit("|next]] [[Page "), m, F.lit("|by name]] [[nothing-here-"), F.col("ord").cast("string"), F.lit("|q]] [[a/b|c]]")).alias("text"))
+    return links.convert(docs, v, BASE).select("doc_id", "text")
+
+
 @query("""
 WITH RECURSIVE e AS (SELECT page_id AS src, page_id // 2 AS dst FROM pages WHERE page_id > 0),
 w AS (SELECT page_id AS start, page_id AS cur, 0 AS hops FROM pages UNION ALL SELECT start, dst, hops + 1 FROM w JOIN e ON e.src = w.cur)
@@ -285,7 +286,12 @@ def q_index_count(spark, sf_dir):
     return index.listed(_index_pages(spark, sf_dir)).agg(F.count("*").alias("total"))
 
 
-@query()
+@query(f"""
+WITH {_INDEX}, l AS (
+SELECT '1docs/' || CASE WHEN d = '' THEN '0' ELSE '1' || d || '0' END || 'P' || n || '.md' AS sort, '- [[docs/' || d || 'P' || n || '|T' || n || ']]' AS line FROM i
+UNION ALL SELECT DISTINCT '1docs/1' || replace(d, '/', ''), '### ' || replace(d, '/', '') FROM i WHERE d <> '' UNION ALL SELECT '1docs', '## docs')
+SELECT '# Table of Contents' || chr(10) || chr(10) || string_agg(line, chr(10) ORDER BY sort, line) || chr(10) || chr(10) || '---' || chr(10) || 'Total documentation pages: ' || (SELECT count(*) FROM i) || chr(10) AS text FROM l
+""")
 def q_index_document(spark, sf_dir):
     return index.index_document(_index_pages(spark, sf_dir))
 
@@ -342,7 +348,7 @@ def q_lint_numbered_list_sequence(spark, sf_dir):
     return rows.where(F.col("z.number").isNotNull()).where(told.try_cast("int") != F.col("z.number")).select("doc_id", (F.col("i") + 1).alias("line_number"), F.col("z.number").alias("number"))
 
 
-@query("SELECT doc_id, CAST(0 AS INT) AS line_number FROM documents WHERE doc_id % 2 = 0")
+@query("SELECT doc_id, CAST(0 AS INT) AS line_number FROM documents WHERE contains(text || CASE WHEN doc_id % 2 = 0 THEN repeat(chr(10), 3) ELSE chr(10) END || 'x', repeat(chr(10), 3))")
 def q_lint_multiple_blank_lines(spark, sf_dir):
     text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n\n")).otherwise(F.lit("\n")), F.lit("x"))
     rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
@@ -356,51 +362,65 @@ def q_lint_missing_final_newline(spark, sf_dir):
     return rows.select("doc_id", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).alias("line_number"))
 
 
+#: A block for each rule, put before the whole text of each document, and what the rule makes of it.
 _RULES = {
-    "content_before_h1": ("'x' || chr(10) || '# h' || chr(10) || 'y ' || doc_id", "x\n# h\ny {}"),
-    "multiline_wiki_link": ("'[[a|b' || chr(10) || 'c ' || doc_id || ']]'", "[[a|b\nc {}]]"),
-    "malformed_wikilink": ("'[[a/\"|b ' || doc_id || ']]'", '[[a/"|b {}]]'),
-    "internal_link_format": ("'[b](a.md) ' || doc_id", "[b](a.md) {}"),
-    "table_missing_header": ("'| a | b |' || chr(10) || '| --- |' || chr(10) || doc_id", "| a | b |\n| --- |\n{}"),
-    "callout_empty_line": ("'> a' || chr(10) || chr(10) || '> ' || doc_id", "> a\n\n> {}"),
-    "list_empty_lines": ("'- a' || chr(10) || chr(10) || '- ' || doc_id", "- a\n\n- {}"),
-}
-_FIXED = {
-    "content_before_h1": "'# h' || chr(10) || chr(10) || 'y ' || doc_id",
-    "multiline_wiki_link": "'[[a|b c ' || doc_id || ']]'",
-    "malformed_wikilink": "'[[a|b ' || doc_id || ']]'",
-    "internal_link_format": "'[[a|b]] ' || doc_id",
-    "table_missing_header": "'|  |  |' || chr(10) || '| --- | --- |' || chr(10) || '| a | b |' || chr(10) || '| --- |' || chr(10) || doc_id",
-    "callout_empty_line": "'> a' || chr(10) || '>' || chr(10) || '> ' || doc_id",
-    "list_empty_lines": "'- a' || chr(10) || '- ' || doc_id",
+    "content_before_h1": ("x\n# h\ny {}\n", "# h\ny {}\n"),
+    "multiline_wiki_link": ("[[a|b\nc {}]] ", "[[a|b c {}]] "),
+    "malformed_wikilink": ('[[a/"|b {}]] ', "[[a|b {}]] "),
+    "internal_link_format": ("[b](a.md) {} ", "[[a|b]] {} "),
+    "table_missing_header": ("| a | b |\n| --- |\n{}\n", "|  |  |\n| --- | --- |\n| a | b |\n| --- |\n{}\n"),
+    "callout_empty_line": ("  > a\n\n> {}\nx\n", "  > a\n>\n> {}\nx\n"),
+    "list_empty_lines": ("- a\n\n- {}\nx\n", "- a\n- {}\nx\n"),
+    "numbered_list_sequence": ("01.  a\n\n7. b {}\nx\n", "1. a\n\n2. b {}\nx\n"),
 }
 
 
+def _put(block: str) -> str:
+    """A block as SQL, with the document's id in it."""
+    return "'" + block.replace("\n", "' || chr(10) || '").replace("{}", "' || doc_id || '") + "'"
+
+
 def _rule(name: str):
     def run(spark, sf_dir):
-        before, after = _RULES[name][1].split("{}")
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after)).alias("text"))
-        linted = lint.lint(docs, "doc_id")
-        return linted.where(F.exists("issues", lambda i: i["issue_type"] == name)).select("doc_id", F.regexp_replace("fixed", r"\n$", "").alias("fixed"))
+        before, after = _RULES[name][0].split("{}")
+        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after), F.coalesce("text", F.lit(""))).alias("text"))
+        linted = lint.lint(docs, "doc_id", passes=(getattr(lint, name),))
+        return linted.where(F.exists("issues", lambda i: i["issue_type"] == name)).select("doc_id", "fixed")
 
-    run.__name__ = f"q_lint_{name}"
+    run.__name__ = f"q_lint_{name}" if name != "numbered_list_sequence" else "q_lint_numbered_list_rewrite"
     return run
 
 
-for _name in _RULES:
-    query(f"SELECT doc_id, {_FIXED[_name]} AS fixed FROM documents")(_rule(_name))
+for _name, (_, _fixed) in _RULES.items():
+    query(f"SELECT doc_id, {_put(_fixed)} || coalesce(text, '') AS fixed FROM documents")(_rule(_name))
 
 
-def _linted(spark, sf_dir):
+def _linted(spark, sf_dir, passes=lint.PASSES):
     docs = _synthetic(spark, sf_dir).select("doc_id", F.array_join("l", "\n").alias("text"))
-    return lint.issues(lint.lint(docs, "doc_id"), "doc_id")
+    return lint.issues(lint.lint(docs, "doc_id", passes=passes), "doc_id")
+
+
+_THREE = rf"""{_LINES}, trimmed AS (SELECT *, regexp_replace(line, '[ \t\r\f\x0B]+$', '') AS bare FROM n),
+told AS (SELECT 'trailing_whitespace' AS issue_type, doc_id, i FROM trimmed WHERE line <> bare UNION ALL SELECT 'list_indentation', doc_id, i FROM trimmed WHERE regexp_matches(bare, '^[ \t]+[-*+][ \t]')
+  UNION ALL SELECT 'missing_final_newline', doc_id, 2147483647 FROM trimmed WHERE i = (SELECT max(i) FROM trimmed x WHERE x.doc_id = trimmed.doc_id) AND bare <> '')"""
+
+
+@query(f"WITH {_THREE} SELECT issue_type, count(*) AS n, CAST(row_number() OVER (ORDER BY count(*) DESC, issue_type) AS INT) AS rank FROM told GROUP BY issue_type")
+def q_lint_type_counts(spark, sf_dir):
+    """Three rules one after the other on whole documents: issues of each type, the commonest first."""
+    return lint.counts(_linted(spark, sf_dir, (lint.trailing_whitespace, lint.list_indentation, lint.missing_final_newline)), "doc_id")
+
+
+@query(f"WITH {_THREE} SELECT count(DISTINCT doc_id) AS files, count(*) AS issues FROM told")
+def q_lint_totals(spark, sf_dir):
+    return lint.totals(_linted(spark, sf_dir, (lint.trailing_whitespace, lint.list_indentation, lint.missing_final_newline)), "doc_id")
 
 
 @query()
 def q_lint_counts(spark, sf_dir):
-    return lint.counts(_linted(spark, sf_dir))
+    return lint.counts(_linted(spark, sf_dir), "doc_id")
 
 
 @query()
 def q_lint_report(spark, sf_dir):
-    return lint.report(_linted(spark, sf_dir), "doc_id")
+    return lint.report_lines(_linted(spark, sf_dir), "doc_id")

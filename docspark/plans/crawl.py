@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
 
 from docspark.operators import control, state
+from docspark.operators.lineage import shared_folder
 from docspark.plans.registry import query, table
 from docspark.streaming import frontier
 
@@ -160,19 +161,29 @@ def _timed(spark, sf_dir):
     return table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
 
 
-@query("""
+_BREAKER = """
 WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t0, event_type <> 'error' AS ok, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 m AS (SELECT DISTINCT key, 0 AS k, 'closed' AS mode, 0 AS count, CAST(0 AS DOUBLE) AS opened, 0 AS refused FROM e
   UNION ALL SELECT key, k, CASE WHEN now = 'open' THEN 'open' WHEN ok THEN 'closed' WHEN count + 1 >= 2 THEN 'open' ELSE now END, CASE WHEN now = 'open' THEN count WHEN ok THEN 0 ELSE count + 1 END,
     CASE WHEN now <> 'open' AND NOT ok AND count + 1 >= 2 THEN t0 ELSE opened END, refused + CASE WHEN now = 'open' THEN 1 ELSE 0 END
   FROM (SELECT e.key, e.k, e.t0, e.ok, m.count, m.opened, m.refused, CASE WHEN m.mode = 'open' AND e.t0 - m.opened > 7200 THEN 'half-open' ELSE m.mode END AS now FROM m JOIN e ON e.key = m.key AND e.k = m.k + 1) x)
 SELECT key, arg_max(mode, k) AS mode, CAST(arg_max(count, k) AS INT) AS failures, CAST(arg_max(refused, k) AS INT) AS refused FROM m GROUP BY key
-""")
+"""
+
+
+@query(_BREAKER)
 def q_circuit_breaker(spark, sf_dir):
     return control.circuit_breaker(_timed(spark, sf_dir), "key", 2, 7200.0)
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT user_id AS key, epoch_us(ts) / 1e6 AS t0, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+m AS (SELECT DISTINCT key, 0 AS k, CAST(2 AS DOUBLE) AS tokens, CAST(NULL AS DOUBLE) AS last, 0 AS n, CAST(0 AS DOUBLE) AS waited FROM e
+  UNION ALL SELECT key, k, CASE WHEN tok >= 1 THEN tok - 1 ELSE 0 END, now + CASE WHEN tok >= 1 THEN 0 ELSE (1 - tok) / rate END, n + CASE WHEN tok >= 1 THEN 0 ELSE 1 END,
+    waited + CASE WHEN tok >= 1 THEN 0 ELSE (1 - tok) / rate END + now - t0
+  FROM (SELECT *, least(2.0, tokens + (now - coalesce(last, now)) * rate) AS tok FROM (SELECT e.key, e.k, e.t0, m.tokens, m.last, m.n, m.waited, CAST(1 AS DOUBLE) / 7200 AS rate, greatest(e.t0, coalesce(m.last, e.t0)) AS now FROM m JOIN e ON e.key = m.key AND e.k = m.k + 1)))
+SELECT key, CAST(arg_max(n, k) AS INT) AS waits, round(arg_max(waited, k), 6) AS waited FROM m GROUP BY key
+""")
 def q_token_bucket(spark, sf_dir):
     return control.token_bucket(_timed(spark, sf_dir), "key", 1 / 7200, 2)
 
@@ -190,25 +201,25 @@ def _stream(spark, sf_dir):
     return spark.readStream.schema(spark.read.parquet(f"{sf_dir}/events.parquet").schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
 
 
-def _checkpoint(spark, name):
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="stream-")
-    return f"{root.rstrip('/')}/{name}-{spark.sparkContext.applicationId}-{spark._jvm.java.util.UUID.randomUUID()}"
+def _run(spark, stream, name, mode, key=None):
+    root = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    return frontier.run_once(stream, f"{root}/table", mode, f"{root}/checkpoint", key)
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def q_stream_counts(spark, sf_dir):
     events = _stream(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("n"))
-    return frontier.run_once(events, "stream_counts", "complete", _checkpoint(spark, "counts"))
+    return _run(spark, events, "counts", "complete")
 
 
 @query("""SELECT epoch_us(date_trunc('hour', ts)) AS start_us, event_type, count(*) AS n FROM events GROUP BY 1, 2""")
 def q_stream_windows(spark, sf_dir):
     events = _stream(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    rows = frontier.run_once(frontier.status_counts(events), "stream_windows", "complete", _checkpoint(spark, "windows"))
+    rows = _run(spark, frontier.status_counts(events), "windows", "complete")
     return rows.select(F.unix_micros("start").alias("start_us"), "event_type", "n")
 
 
-@query()
+@query(_BREAKER)
 def q_stream_breaker(spark, sf_dir):
     events = _stream(spark, sf_dir).select(F.col("user_id").alias("key"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"))
-    return frontier.run_once(frontier.breakers(events, 2, 7200.0), "stream_breaker", "update", _checkpoint(spark, "breaker"))
+    return _run(spark, frontier.breakers(events, 2, 7200.0), "breaker", "update", "key")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docspark.functions import image as I
 from docspark.functions import path as P
 from docspark.functions import tags as G
 from docspark.functions import text as X
 from docspark.functions import url as U
-from docspark.operators import extract, index, links, lint, state
+from docspark.operators import control, extract, index, links, lint, state, tagging
 from docspark.operators.lineage import cut
 from docspark.plans.registry import query, table
 from docspark.sources import sitemap, vault
@@ -29,9 +30,10 @@ def markdown_pages(pages: DataFrame, variable: str = "__STATE__") -> DataFrame:
     found = cut(extract.pages(pages.where(F.col("html").isNotNull()), variable))
     crumbs = F.col("breadcrumbs.name")
     place = P.file_place(F.col("url"), crumbs, F.col("section_heading"), F.col("title"), F.lit(False))
-    emphasis = F.array_join("emphasis", " ")
-    tags = G.final(G.hierarchical(U.product(F.col("url")), F.col("title"), F.col("section_heading"), crumbs), G.technical(emphasis))
-    rows = found.withColumns({"_place": place, "_tags": tags})
+    own = G.hierarchical(U.product(F.col("url")), F.col("title"), F.col("section_heading"), crumbs)
+    top = tagging.top_terms(tagging.counted(G.terms(F.array_join("emphasis", " "))), F.col("_own"))
+    rows = found.withColumns({"_place": place, "_own": own, "_technical": G.technical(F.col("page_text"))})
+    rows = rows.withColumn("_tags", G.final(F.col("_own"), F.concat("_technical", top)))
     front = vault.frontmatter([("url", F.col("url")), ("title", F.col("title")), ("section", F.col("section_heading"))], [("tags", F.col("_tags"))])
     body = F.when(F.col("markdown").startswith("# "), F.col("markdown")).otherwise(F.concat(F.lit("# "), F.col("title"), F.lit("\n\n"), F.col("markdown")))
     rows = rows.select("page_id", "url", "title", P.short_path(F.concat_ws("/", F.nullif("_place.folder", F.lit("")), "_place.name"), F.col("url")).alias("_path"), X.clean_markdown(F.concat(front, F.lit("\n\n"), body)).alias("text"))
@@ -43,9 +45,42 @@ def linked(rows: DataFrame, base: str) -> DataFrame:
     return links.convert(rows, mapped, base, "page_id")
 
 
+def image_flow(docs: DataFrame, found: DataFrame, stored: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
+    """docs(key, text), found(page_url, url) and stored(url, content, content_type) -> the images' new state, and the texts led to the files.
+
+    Each image is fetched once, wherever it stands; what the rules refuse has an error, what nobody fetched stays pending.
+    """
+    once = found.where("url is not null").groupBy("url").agg(F.min("page_url").alias("page_url"))
+    place = P.image_place(F.col("url"), F.col("page_url"))
+    rows = once.join(stored, "url", "left")
+    refused = I.refusal(U.scheme(F.col("url")), F.length("content"))
+    fetched = F.col("content").isNotNull() | ~U.scheme(F.col("url")).isin("http", "https")
+    right = F.concat(F.regexp_replace(place, r"\.[^./]*$", ""), F.coalesce(I.extension(F.col("content"), F.col("content_type")), F.regexp_extract(place, r"(\.[^./]*)$", 1)))
+    images = cut(rows.select("url", "page_url", F.when(fetched & refused.isNull(), F.concat(F.lit("images/"), right)).alias("local_path"), (fetched & refused.isNull()).alias("downloaded"), F.when(fetched, refused).alias("error_message")))
+    return images, links.image_references(docs, images.where("downloaded"), key)
+
+
+def retry_flow(pages: DataFrame, outcomes: DataFrame, max_retries: int = 3) -> DataFrame:
+    """pages with failed ones tried again: outcomes(url, attempt, ok, error) tells what each attempt gave. A page is tried until it succeeds or
+    max_retries is reached; then it is completed, or failed with the last error. -> pages with waited, the seconds of all its waits."""
+    plan = state.failed_for_retry(pages, max_retries).select("url", F.col("retry_count").alias("_before"))
+    tries = plan.join(outcomes, "url").where(F.col("attempt") <= max_retries - F.col("_before"))
+    first = tries.groupBy("url").agg(F.min(F.when(F.col("ok"), F.col("attempt"))).alias("_won"), F.max("attempt").alias("_last"), F.max_by("error", "attempt").alias("_error"), F.first("_before").alias("_before"))
+    attempts = F.coalesce("_won", "_last")
+    waited = F.aggregate(F.sequence(F.lit(1), attempts), F.lit(0.0), lambda s, k: s + control.backoff(k, most=30.0))
+    done = first.select("url", attempts.alias("_tried"), F.col("_won").isNotNull().alias("_ok"), "_error", waited.alias("waited"))
+    rows = pages.join(done, "url", "left")
+    tried = F.col("_tried").isNotNull()
+    changes = {
+        "status": F.when(tried, F.when(F.col("_ok"), "completed").otherwise("failed")).otherwise(F.col("status")), "error_message": F.when(tried & ~F.col("_ok"), F.col("_error")).when(~tried, F.col("error_message")),
+        "retry_count": F.col("retry_count") + F.coalesce(F.col("_tried") - F.col("_ok").cast("int"), F.lit(0)), "waited": F.coalesce("waited", F.lit(0.0)),
+    }
+    return rows.withColumns(changes).select(*pages.columns, "waited")
+
+
 def linted_vault(pages: DataFrame, base: str, variable: str = "__STATE__") -> DataFrame:
     """page_id, url, title, file_path, text, issues of the finished vault."""
-    rows = cut(linked(markdown_pages(pages, variable), base))
+    rows = cut(linked(cut(markdown_pages(pages, variable)), base))
     done = lint.lint(rows, "page_id")
     return rows.drop("text").join(done.select("page_id", F.col("fixed").alias("text"), "issues"), "page_id")
 

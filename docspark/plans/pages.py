@@ -104,6 +104,12 @@ def q_sitemap_filter(spark, sf_dir):
     return urls.where(U.sitemap_wanted(F.col("url"), "product", ROOT, BASE))
 
 
+@query("SELECT count(*) AS urls, count(*) FILTER (WHERE page_id % 3 = 0) AS docs, count(*) FILTER (WHERE page_id % 3 = 1) AS resources FROM pages")
+def q_sitemap_kinds(spark, sf_dir):
+    kind = F.element_at(F.array(*map(F.lit, ("/docs/", "/resources/", "/x/"))), (F.col("page_id") % 3 + 1).cast("int"))
+    return sitemap.kind_counts(table(spark, sf_dir, "pages").select(F.concat(F.regexp_extract("url", "^[a-z]+://", 0), F.lit("h"), kind, F.col("page_id").cast("string")).alias("url")))
+
+
 @query(f"""
 WITH u AS (SELECT page_id, {ORIGIN} || '/en/' || list_extract(['page', 'API/v1', 'file.PDF', 'login', 'x/download/y'], CAST(page_id % 5 + 1 AS INT)) AS url FROM pages)
 SELECT page_id, url FROM u WHERE regexp_extract(url, '^[a-z]+://([^/]*)', 1) = 'tionsh.example.net' AND {PATH} LIKE '/en%'
@@ -130,25 +136,14 @@ def q_slug_title(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", P.slug_title(slug).alias("title"))
 
 
-@query(f"WITH d AS (SELECT doc_id, '..' || regexp_replace(substr(text, 1, 150), '[\\x80-\\x{{10FFFF}}]', 'x', 'g') || ' a/b:c?.' AS t FROM documents) SELECT doc_id, {_clean_sql('t')} AS name FROM d")
-def q_clean_name(spark, sf_dir):
-    t = F.concat(F.lit(".."), F.regexp_replace(F.substring("text", 1, 150), r"[\x{80}-\x{10FFFF}]", "x"), F.lit(" a/b:c?."))
-    return table(spark, sf_dir, "documents").select("doc_id", P.safe_name(t).alias("name"))
-
-
 @query(f"WITH d AS (SELECT doc_id, '..' || regexp_replace(coalesce(text, ''), '[\\x80-\\x{{10FFFF}}]', 'x', 'g') || ' a/b:c?.' AS t FROM documents) SELECT doc_id, {_clean_sql('t')} AS name FROM d")
-def q_clean_name_whole(spark, sf_dir):
+def q_clean_name(spark, sf_dir):
     t = F.concat(F.lit(".."), F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x{80}-\x{10FFFF}]", "x"), F.lit(" a/b:c?."))
     return table(spark, sf_dir, "documents").select("doc_id", P.safe_name(t).alias("name"))
 
 
-@query("SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 80)), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
-def q_tag_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", X.tag(F.left("text", F.lit(80))).alias("tag"))
-
-
 @query("SELECT doc_id, regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS tag FROM documents")
-def q_tag_normalize_whole(spark, sf_dir):
+def q_tag_normalize(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", X.tag(F.coalesce("text", F.lit(""))).alias("tag"))
 
 

@@ -42,6 +42,12 @@ def prioritised(urls: DataFrame) -> DataFrame:
     return urls.withColumn("priority", U.priority(F.col("url")))
 
 
+def kind_counts(urls: DataFrame) -> DataFrame:
+    """One row: URLs, and how many of them are docs and resources."""
+    of = lambda kind: F.count_if(F.col("url").contains(f"/{kind}/")).alias(kind)
+    return urls.agg(F.count("url").alias("urls"), of("docs"), of("resources"))
+
+
 def read_markdown(spark: SparkSession, folder: str) -> DataFrame:
     """path, text of all .md files below a folder."""
     rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder, wholetext=True)

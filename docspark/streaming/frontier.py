@@ -54,8 +54,31 @@ def breakers(events: DataFrame, failures: int = 10, recovery: float = 300.0) ->
     return events.groupBy("key").applyInPandasWithState(breaker_update(failures, recovery), BREAKER_OUT, BREAKER_STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_once(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Reads what there is, then gives the sink's table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, path: str, mode: str, checkpoint: str, key: str | None = None) -> DataFrame:
+    """Reads what is new since the last time, and gives the sink's table, which lies in path as a snapshot for each batch.
+
+    In complete mode a batch is the table; in update mode its rows take the place of those with their key. A batch that is run again after a
+    break writes its snapshot anew, from the one before it. With the same path and checkpoint a later call goes on from there.
+    """
+    spark = stream.sparkSession
+    number = lambda n: f"{path.rstrip('/')}/batch={n}"
+    at = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def newest(before: int | None = None) -> str | None:
+        found = [s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(at(path))] if fs.exists(at(path)) else []
+        whole = [int(n) for n in found if n.isdigit() and fs.exists(at(f"{number(n)}/_SUCCESS"))]
+        whole = [n for n in whole if before is None or n < before]
+        return number(max(whole)) if whole else None
+
+    def put(batch: DataFrame, n: int) -> None:
+        old = newest(n)
+        if mode == "update" and old:
+            kept = spark.read.schema(stream.schema).parquet(old)
+            batch = kept.join(batch.select(key).distinct(), key, "left_anti").select(batch.columns).union(batch)
+        batch.write.mode("overwrite").parquet(number(n))
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    last = newest()
+    return spark.read.schema(stream.schema).parquet(last) if last else spark.createDataFrame([], stream.schema)

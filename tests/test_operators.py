@@ -1,7 +1,10 @@
 from pyspark.sql import functions as F
 
-from docspark.operators import control, extract, index, links, lint, state
-from docspark.sources import sitemap, vault
+from docspark.functions import tags
+from docspark.functions import text as textf
+from docspark.operators import control, extract, index, links, lint, state, tagging
+from docspark.sources import sitemap, store, vault
+from docspark.streaming import frontier
 
 B = "https://h/p"
 
@@ -35,9 +38,31 @@ def test_repair_takes_the_first_page(spark):
 
 
 def test_image_references(spark):
-    docs = spark.createDataFrame([(1, "![Alt](https://e/i.jpg) ![](//e/i.jpg) ![x](https://e/no.jpg)")], "doc_id long, text string")
+    forms = "![Alt](https://e/i.jpg) ![](//e/i.jpg) ![x](https://e/no.jpg) ![[https://e/i.jpg|a]] <img src=\"https://e/i.jpg\"> ![[//e/i.jpg|a]]"
+    docs = spark.createDataFrame([(1, forms), (2, None), (3, "none")], "doc_id long, text string")
     images = spark.createDataFrame([("https://e/i.jpg", "images/i.jpg")], "url string, local_path string")
-    assert links.image_references(docs, images).first().text == "![[images/i.jpg]] ![[images/i.jpg]] ![x](https://e/no.jpg)"
+    got = dict(rows(links.image_references(docs, images)))
+    assert got == {1: "![[images/i.jpg]] ![[images/i.jpg]] ![x](https://e/no.jpg) ![[images/i.jpg]] <img src=\"images/i.jpg\"> ![[//e/i.jpg|a]]", 2: None, 3: "none"}
+
+
+def test_wikilinks_of_documents_are_repaired(spark):
+    docs = spark.createDataFrame([(1, "docs/A/me.md", f"[[one|x]] [[Two|y]] [[gone| z ]] [[a/b|c]] [[alive|v]] [t]({B}/docs/two)"), (2, "docs/A/q.md", None)], "doc_id long, file_path string, text string")
+    checks = spark.createDataFrame([(f"{B}/docs/alive/", f"{B}/resources/r")], "url string, final_url string")
+    got = dict(rows(links.convert(docs, pages(spark), B, checks=checks).select("doc_id", "text")))
+    assert got[2] is None
+    assert got[1] == "[[One page|x]] [[../B/Two|y]] [[gone| z ]] [[a/b|c]] [[../../resources/R|v]] [[../B/Two|t]]"
+
+
+def test_containing_finds_what_comparing_all_finds(spark):
+    urls = [f"https://h/{a}-{b}" for a in ("get", "set", "x") for b in ("started", "up", "ab")]
+    targets = ["get", "up", "s", "-u", "started", "none", "t-a", "https", "x-up"]
+    got = rows(links.containing(spark.createDataFrame([(t,) for t in targets], "target string"), spark.createDataFrame([(u,) for u in urls], "_url string")).select("target", "_url"))
+    assert got == sorted(((t, u) for t in targets for u in urls if t in u), key=repr)
+
+
+def test_redirects_without_bound_and_the_latest_wins(spark):
+    r = spark.createDataFrame([(f"u/{k}", f"u/{k + 1}", 0) for k in range(60)] + [("u/60", "u/z", 1), ("u/60", "u/a", 2)], "src string, dst string, ord int")
+    assert [(x.final, x.hops) for x in links.redirect_closure(spark.createDataFrame([("u/0",)], "url string"), r, "ord").collect()] == [("u/a", 61)]
 
 
 def test_lint_vectors():
@@ -49,6 +74,8 @@ def test_lint_vectors():
     assert one(lint.list_empty_lines, "- a\n\ntext") == "- a\n\n\ntext" and one(lint.list_empty_lines, "- a\n\n\n- b") == "- a\n- b"
     assert one(lint.numbered_list_sequence, "3. x\n7. y\ntext\n9. z") == "1. x\n2. y\ntext\n1. z"
     assert one(lint.callout_empty_line, "> a\n\n> b") == "> a\n>\n> b" and one(lint.callout_empty_line, "> a\n\n\n> b") == "> a\n\n\n> b"
+    assert one(lint.callout_empty_line, "  > a\n\n   > b\nend\n\n> c") == "  > a\n>\n   > b\nend\n\n> c"
+    assert one(lint.numbered_list_sequence, "01. x\n 2.   y\n3. z") == "1. x\n2. y\n3. z"
     assert one(lint.table_missing_header, "| a | b |\n| --- | --- |") == "| a | b |\n| --- | --- |"
     assert one(lint.missing_final_newline, "") == ""
 
@@ -70,8 +97,21 @@ def test_lint_columns_agree_with_passes(spark):
             n = n + 1 if item else n if not line.strip() else 0
             out.append(n if item else None)
         assert ns == out
-    report = lint.report(lint.issues(lint.lint(df.select("k", "t"), "k", "t"), "k"), "k", most=1)
-    assert all(r.n - r.more <= 1 for r in report.collect())
+    found = lint.issues(lint.lint(df.select("k", "t"), "k", "t"), "k").cache()
+    told = [r.line for r in lint.report_lines(found, "k", most=1).orderBy("part", "name", "ord").collect()]
+    per = {}
+    for r in found.orderBy("k", "ord").collect():
+        per.setdefault(r.k, []).append(r)
+    every = [i for own in per.values() for i in own]
+    types = sorted({i.issue_type for i in every}, key=lambda t: (-sum(i.issue_type == t for i in every), next((i.k, i.ord) for i in every if i.issue_type == t)))
+    want = ["# Markdown Linting Report\n", f"Total files with issues: {len(per)}", f"Total issues found: {len(every)}\n", "## Issues by Type"]
+    want += [f"- {t}: {sum(i.issue_type == t for i in every)}" for t in types] + ["\n## Files with Issues"]
+    for k, own in per.items():
+        want += [f"\n### {k}", f"- Line {own[0].line_number}: {own[0].description}"] + ([f"- ... and {len(own) - 1} more issues"] if len(own) > 1 else [])
+    assert told == want
+    assert [r.line for r in lint.report_lines(found.limit(0), "k").collect()] == ["No linting issues found!"]
+    kept = lint.lint(df.select("k", "t"), "k", "t", auto_fix=False).collect()
+    assert all(r.fixed == texts[r.k] for r in kept) and any(r.issues for r in kept)
 
 
 def test_state(spark):
@@ -105,7 +145,7 @@ def test_index_and_duplicates(spark):
 
 HTML = """<html><head><title>Late</title><script type="application/ld+json">{"@type":"BreadcrumbList","itemListElement":[{"position":2,"item":{"name":"B","@id":"u2"}},{"position":1,"item":{"name":"A","@id":"u1"}}]}</script></head>
 <body><nav><h3><a href="/s">Sec</a></h3><ul><li><a href="/one">One</a></li><li>x</li><li class="current"><a href="/two">Two</a></li></ul></nav>
-<main><h1>Test Page</h1><p>Some <strong>bold</strong> text</p><div data-panel-type="warning"><p>careful</p></div><img src="/i.png"><img src="i2.png" alt="two"><footer>foot</footer></main></body></html>"""
+<main><h1>Test Page</h1><p>Some <strong>bold</strong> text</p><div data-panel-type="warning"><div class="ak-editor-panel__icon">!!</div><div class="ak-editor-panel__content"><p>careful</p></div></div><div data-macro-name="details">macro</div><div data-macro-name="toc">kept</div><div class="vote">helpful?</div><link rel="stylesheet" href="x"><div><div class="see-also">also</div></div><img src="/i.png"><img src="i2.png" alt="two"><footer>foot</footer></main></body></html>"""
 
 
 def test_extract(spark):
@@ -114,10 +154,68 @@ def test_extract(spark):
     one = got[1]
     assert one.title == "Test Page" and "foot" not in one.content_text and "**bold**" in one.markdown and "> [!warning]" in one.markdown
     assert one.images == ["https://h/i.png", "https://h/d/i2.png"] and [b.name for b in one.breadcrumbs] == ["A", "B"]
+    assert "!!" not in one.markdown and "macro" not in one.markdown and "kept" in one.markdown and "helpful" not in one.markdown and "also" in one.markdown
+    assert one.page_title == "Test Page" and not one.has_more and one.page_links == [] and "foot" in one.page_text
     assert [(s.title, s.position, s.is_current) for s in one.siblings] == [("One", 0, False), ("Two", 2, True)] and one.section_heading == "Sec"
     assert got[2].title == "" and got[2].markdown == "" and got[3].images == []
 
 
+def test_links_and_titles_of_live_pages(spark):
+    html = '<title>T</title><nav><button data-testid="sibling-chevron-down"></button><ul><li><a href="/d/n?ref=1">n</a></li></ul></nav><main><a href="x/">1</a><a href="/d/x">2</a><a href="http://o/">3</a><a>4</a><article>a</article><div class="see-also">s</div></main><div class="related-articles">r</div>'
+    got = extract.pages(spark.createDataFrame([(1, "https://h/d/", html)], "page_id long, url string, html string"))
+    one = got.first()
+    assert one.has_more and one.page_title == "T" and one.page_links == ["https://h/d/x/", "https://h/d/x", "http://o/"]
+    assert rows(extract.documentation_links(got, "https://h/d")) == [(1, "https://h/d/n"), (1, "https://h/d/x")]
+
+
+def test_related_articles_beside_the_main_content(spark):
+    html = '<div id="content"><main><p>m</p><div class="see-also">in</div></main><div><div class="see-also">out</div></div></div>'
+    root = __import__("docspark.functions.dom", fromlist=["dom"]).parse(html)
+    extract.clean(root, "https://h/")
+    assert "in" in root.text() and "out" not in root.text()
+
+
+def test_store(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/state")
+    assert s.read("pages").count() == 0 and not s.has_any("runs")
+    s.insert_new("pages", spark.createDataFrame([("a", 1), ("b", 2), ("a", 0)], "url string, ord int"), "ord")
+    s.upsert("pages", spark.createDataFrame([("b", "failed", "e"), ("c", "completed", None)], "url string, status string, error_message string"))
+    s.set_titles(spark.createDataFrame([("a", "A"), ("b", ""), ("z", "Z")], "url string, title string"))
+    # A run that starts anew finds what was there; a change that broke off does not count.
+    (tmp_path / "state" / "pages" / "v=99").mkdir()
+    again = store.Store(spark, f"file://{tmp_path}/state")
+    assert {(r.url, r.status, r.title) for r in again.read("pages").collect()} == {("a", "pending", "A"), ("b", "failed", None), ("c", "completed", None)}
+    assert again.find("pages", "b").first().error_message == "e" and again.find("pages", "q").count() == 0 and len(again.versions("pages")) == store.KEPT
+    now = F.lit("2024-01-01").cast("timestamp")
+    assert again.start_run(now) == 1 and again.start_run(now) == 2
+    again.finish_run(1, now)
+    assert [(r.id, r.pages_total, r.pages_failed, r.completed_at is None) for r in again.read("runs").orderBy("id").collect()] == [(1, 3, 1, False), (2, None, None, True)]
+    again.clear("pages")
+    assert not again.has_any("pages") and again.has_any("runs")
+
+
+def test_streams_go_on_from_their_checkpoint(spark, tmp_path):
+    """Two calls over a growing folder give what one pass over all events gives."""
+    kind = "key long, at double, seq long, ok boolean"
+    for turn, events in enumerate(([(1, 0.0, 0, False), (1, 1.0, 1, False), (2, 0.0, 2, True)], [(1, 2.0, 3, True), (3, 0.0, 4, False)])):
+        spark.createDataFrame(events, kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = frontier.breakers(spark.readStream.schema(kind).parquet(f"{tmp_path}/in"), 2, 60.0)
+        got = rows(frontier.run_once(stream, f"file://{tmp_path}/out", "update", f"file://{tmp_path}/check", "key"))
+        assert got == ([(1, "open", 2, 0), (2, "closed", 0, 0)], [(1, "open", 2, 1), (2, "closed", 0, 0), (3, "closed", 1, 0)])[turn]
+
+
+def test_tags_take_the_next_term_where_one_is_a_tag_already(spark):
+    text = "alpha " * 9 + "beta_x " * 8 + "gamma " * 7 + "delta " * 6 + "once the and"
+    row = spark.createDataFrame([(text,)], "t string").select(tagging.counted(tags.terms(F.col("t"))).alias("c"), tagging.top_terms(tagging.counted(tags.terms(F.col("t"))), F.array(F.lit("alpha"))).alias("top")).first()
+    assert row.top == ["beta-x", "gamma"] and {(c.term, c.n, c["first"]) for c in row.c} == {("alpha", 9, 0), ("beta_x", 8, 9), ("gamma", 7, 17), ("delta", 6, 24), ("once", 1, 30)}
+    assert spark.createDataFrame([("a the",), (None,)], "t string").select(tagging.counted(tags.terms(F.col("t"))).alias("c")).collect()[0].c == []
+
+
+def test_titled_wikilinks(value):
+    told = '[[create-a-service/ "u"|T]] [[x-y/|u]] [[a|b]] [A](https://h/p/docs/what-is-x/) [R](https://h/p/resources/r-y "t") [Q](https://h/p/q/z) [H](https://h/p) [o](http://o/) [m](mailto:x)'
+    assert value(textf.titled_wikilinks(F.lit(told), B)) == "[[Create a Service|T]] [[X Y|u]] [[A|b]] [[What is X|A]] [[resources/R Y|R]] [[Q/z|Q]] [[index|H]] [o](http://o/) [m](mailto:x)"
+
+
 def test_state_content(spark):
     html = '<script>window.__STATE__ = {"page":{"title":"From state","content":{"body":"<p>' + "long " * 30 + '</p>"}}};</script><p>no</p>'
     got = extract.pages(spark.createDataFrame([(1, "https://h/", html)], "page_id long, url string, html string")).first()

@@ -16,7 +16,7 @@ def test_reachable_until_nothing_is_new(spark):
 
 def test_bfs_over_all_pages(spark, tmp_path):
     spark.range(300).withColumnRenamed("id", "page_id").write.parquet(f"{tmp_path}/pages.parquet")
-    got = {r.url: r.depth for r in __spark_entry__.queries()["q_bfs_reachable_whole"](spark, str(tmp_path)).collect()}
+    got = {r.url: r.depth for r in __spark_entry__.queries()["q_bfs_reachable"](spark, str(tmp_path)).collect()}
     assert got == {f"https://s/{n}": n.bit_length() - 1 for n in range(1, 300)}
 
 
@@ -24,7 +24,7 @@ def test_images_of_all_users(spark, tmp_path):
     spark.createDataFrame([(k, k % 2, 0) for k in range(1, 5)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     events = [(1, 1, "click", None), (2, 1, "error", "e1"), (3, 2, "error", "e2"), (4, 2, "click", None), (5, 3, "error", "e3")]
     spark.createDataFrame(events, "event_id long, user_id long, event_type string, props string").write.parquet(f"{tmp_path}/events.parquet")
-    got = {r.url: (r.downloaded, r.error_message) for r in __spark_entry__.queries()["q_images_fold_whole"](spark, str(tmp_path)).collect()}
+    got = {r.url: (r.downloaded, r.error_message) for r in __spark_entry__.queries()["q_images_fold"](spark, str(tmp_path)).collect()}
     assert got == {"1": (False, "e1"), "2": (True, None), "3": (False, "e3"), "4": (False, None)}
 
 

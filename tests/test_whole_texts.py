@@ -40,9 +40,9 @@ def name(t):
 
 def test_whole_texts(run):
     whole = [t or "" for t in TEXTS]
-    assert run("q_clean_markdown_whole") == [cleaned(t + "\na  \n\n\n\n- b\n3. c\n7. d\n\n") for t in whole]
-    assert run("q_tag_normalize_whole") == [re.sub("[^a-z0-9]+", "-", t.lower()).strip("-") for t in whole]
-    assert run("q_clean_name_whole") == [name(t) for t in whole]
-    assert run("q_yaml_fix_whole") == ["---\ntags:\n- a\n\n- b\n---\n" + t + "\nk:\n\n- x" for t in whole]
+    assert run("q_clean_markdown") == [cleaned(t + "\na  \n\n\n\n- b\n3. c\n7. d\n\n") for t in whole]
+    assert run("q_tag_normalize") == [re.sub("[^a-z0-9]+", "-", t.lower()).strip("-") for t in whole]
+    assert run("q_clean_name") == [name(t) for t in whole]
+    assert run("q_yaml_fix") == ["---\ntags:\n- a\n\n- b\n---\n" + t + "\nk:\n\n- x" for t in whole]
     told = [["src", *[c for c, words in CATEGORIES.items() if any(w in t.lower() for w in words)][:2]] for t in whole]
-    assert all(got.split(",")[: len(want)] == want for got, want in zip(run("q_tags_final_whole"), told, strict=True)) and len(told[-1]) == 3
+    assert all(got.split(",")[: len(want)] == want for got, want in zip(run("q_tags_final"), told, strict=True)) and len(told[-1]) == 3
