@@ -81,6 +81,18 @@ def free_names(taken: list[str], *stems: str) -> list[str]:
     return found
 
 
+def dealt_join(rows: DataFrame, facts: DataFrame, key: str, weight: str, total: int) -> DataFrame:
+    """rows joined with facts(key, weight, ...), one row for each key; weight says how many of the `total` rows have the key, which is not null.
+
+    Keys with more than a quarter of a partition's even share of rows are broadcast, 4 * partitions of them at most, so that no task gets all
+    rows of such a key; the others shuffle.
+    """
+    bound = max(1, total // (4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    heavy, light = facts.where(F.col(weight) > bound), facts.where(F.col(weight) <= bound)
+    rest = rows.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
+    return rows.join(F.broadcast(heavy), key).unionByName(rest).drop(weight)
+
+
 def crc_mod3(doc_id) -> "F.Column":
     """The remainder that keeps rows out of every training set (1: held out)."""
     return F.crc32(doc_id.cast("string")) % 3

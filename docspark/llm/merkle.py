@@ -3,8 +3,9 @@
 Sections are parted by blank lines, paragraphs by line ends; a paragraph's leaves are runs of up to four words with the white space
 around them, so that every character is in a leaf or a border. A leaf's hash has 32 bits, a paragraph's and a section's 64 bits over
 the full hashes below, the root is the SHA-256 of all of them. The fingerprint is text:
-`<root>;<section>:<paragraph>=<leaf>.<leaf>,<paragraph>=...;<section>:...`. Equal roots mean equal texts; where roots differ, the
-sections, paragraphs and leaves that differ locate the edit.
+`<root>;<section>:<paragraph>=<leaf>.<leaf>,<paragraph>=...;<section>:...`. Equal texts have equal roots, and different
+texts different ones, unless leaves collide in 64 bits, which crafted texts can; where roots differ, the sections, paragraphs and leaves
+that differ locate the edit.
 """
 
 from __future__ import annotations

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docspark.llm.common import Scratch, blocks, free_names, mix, shingle_hashes, small_batches
+from docspark.llm.common import Scratch, blocks, dealt_join, free_names, mix, shingle_hashes, small_batches
 from docspark.llm.components import components
 
 REGISTERS, ROWS, BANDS = 224, 8, 112
@@ -275,7 +275,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = scratch.keep(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, sketch binary"), "rows")
     known = rows.where("doc_id is not null and n_shingles > 0")
-    reps = scratch.keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.max(F.struct("n_shingles", "sketch")).alias("s")).select("set_key", "id", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "reps")
+    reps = scratch.keep(known.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("rows"), F.max(F.struct("n_shingles", "sketch")).alias("s")).select("set_key", "id", "rows", F.col("s.n_shingles").alias("n"), F.col("s.sketch").alias("sketch")), "reps")
 
     keys = reps.select("id", "sketch").mapInArrow(_band_batches, "key long, id long")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -305,9 +305,12 @@ def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
         links = _verified(maybe.where("not sure").select("u", "v").distinct(), sets, percent).union(maybe.where("sure").select("u", "v")).union(comps.where("id <> comp").select(F.col("id").alias("u"), F.col("comp").alias("v")))
         comps = components(scratch.keep(links, "links-1"), scratch, "comps-1")
 
-    out = rows.drop("sketch").join(reps.select("set_key", F.col("id").alias("rep")), "set_key", "left").withColumn("id", F.coalesce("rep", "doc_id"))
-    out = out.join(comps, "id", "left")
-    out = out.withColumn("component_id", F.when(F.col("n_shingles") > 0, F.coalesce("comp", "id")).otherwise(F.col("doc_id")))
+    # Each set's component first, then the rows to their set: a text that is repeated often has few sets, and rows without any stay apart.
+    placed = reps.select("id", "set_key", "rows").join(comps, "id", "left").select("set_key", "rows", F.coalesce("comp", "id").alias("component_id"))
+    total = placed.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    linked = "doc_id is not null and n_shingles > 0"
+    out = dealt_join(rows.where(linked).drop("sketch"), placed, "set_key", "rows", total).select("doc_id", "n_shingles", "component_id")
+    out = out.union(rows.where(f"not ({linked})").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)).alias("kept"))
 
 

@@ -194,6 +194,48 @@ def test_fingerprints(odd_docs, no_docs):
     assert alone.near_next == 1.0
 
 
+def test_fingerprints_against_their_plain_form(spark, odd_docs):
+    """Trees, fingerprints and likeness made text by text."""
+    import xxhash
+
+    leaf = re.compile(r"\s*(?:[^ \t\n\x0b\f\r]+\s*){1,4}|\s+", re.A)
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    def of_array(values):
+        h = 42
+        for v in values:
+            h = xxhash.xxh64_intdigest(signed(v).to_bytes(8, "little", signed=True), seed=h)
+        return h
+
+    def told(text):
+        sections, low = [], set()
+        for s in text.split("\n\n"):
+            nodes = [[xxhash.xxh64_intdigest(x.encode(), seed=42) for x in leaf.findall(p)] for p in s.split("\n")]
+            low |= {h & 0xFFFFFFFF for p in nodes for h in p}
+            h = 42
+            for p in nodes:
+                for v in p:
+                    h = xxhash.xxh64_intdigest(signed(v).to_bytes(8, "little", signed=True), seed=h)
+            sections.append(f"{h:016x}:" + ",".join(f"{of_array(p):016x}=" + ".".join(f"{v & 0xFFFFFFFF:08x}" for v in p) for p in nodes))
+        body = ";".join(sections)
+        return hashlib.sha256(body.encode()).hexdigest() + ";" + body, low
+
+    def like(a, b):
+        return 1.0 if not a and not b else len(a & b) / len(a | b)
+
+    rows = [(1, "one two three four five\nsix\n\nseven  eight"), (2, "one two three four X\nsix\n\nseven  eight nine ten"), (3, ""), (4, "\n\n \n"), (5, "é 中文 😀 " * 30), (6, "é 中文 😀 " * 31)]
+    got = {r.doc_id: r for r in merkle.fingerprints(spark.createDataFrame(rows, "doc_id long, text string"), 3).collect()}
+    for k, (i, t) in enumerate(rows):
+        after = rows[(k + 1) % len(rows)][1]
+        half = len(t) // 2
+        edited = t[: len(t) - half] + after[:half]
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (told(t)[0], told(edited)[0])
+        assert abs(r.near_edited - like(told(t)[1], told(edited)[1])) < 1e-12 and abs(r.near_next - like(told(t)[1], told(after)[1])) < 1e-12
+
+
 def test_merkle_differences(spark):
     texts = ["a b c d e\nf\n\ng", "a b c d X\nf\n\ng", "a b c d e\nf\n\ng ", "a b c d e\nf\n\ng\nh", ""]
     f = {t: r[0] for t in texts for r in spark.createDataFrame([(t,)], "t string").select(merkle.fingerprint(F.col("t"))).collect()}
