@@ -10,27 +10,47 @@ from docspark.llm.common import Scratch, table
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rule ensemble rejects go."""
+    """Documents that the rule ensemble rejects go.
+
+    Each row is judged by its own whole text: null and empty ones by zero statistics, very long ones like all others. Null and repeated ids,
+    repeated rows and columns of any names stay with their row. Empty tables give an empty result; without labels all rows stay.
+    """
     return quality.keep_good(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
 def toxicity_chain(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain rejects go."""
+    """Documents that the classifier chain rejects go.
+
+    Each row is judged by its own whole text; null and empty ones have no words. Null and repeated ids, repeated rows and columns of any
+    names stay with their row. Empty tables give an empty result; without labels, or with one kind only, no word tells.
+    """
     return toxicity.drop_toxic(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
+    """One document of each group of near duplicates stays, the one with the smallest id.
+
+    Null and empty texts and rows without an id stay; rows that repeat an id are one document; repeated rows that stay, stay repeated. Texts are
+    read whole, columns may have any names, empty tables give an empty result.
+    """
     return near_dedup.drop_near_duplicates(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a passage of the benchmark go."""
+    """Documents that hold a passage of the benchmark go.
+
+    Each row is judged by its own whole text, also where ids are null or repeated; null and empty texts stay, columns may have any names.
+    Without items all rows stay, empty tables give an empty result.
+    """
     return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids with an end id, as digests beside the text that they decode to."""
+    """Token ids with an end id, as digests beside the text that they decode to.
+
+    Null and empty texts give the end id alone, very long ones are read whole, a null id stays null, repeated rows give equal rows, other columns
+    are not read. Empty tables give empty results.
+    """
     return piece.digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 

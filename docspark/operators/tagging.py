@@ -31,6 +31,11 @@ def term_counts(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
 def top_terms(counts: Column, tags: Column, most: int = 5, least: int = 3, kept: int = 2) -> Column:
     """Of the `most` commonest terms, ties by their first place, those that occur `least` times and whose tag is not among `tags`
     already: the tags of the first `kept`."""
-    ranked = F.array_sort(F.transform(counts, lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), tag(t["term"]).alias("tag"))))
-    fits = F.filter(F.slice(ranked, 1, most), lambda t: (t["n"] <= -least) & ~F.array_contains(tags, t["tag"]))
-    return F.slice(F.transform(fits, lambda t: t["tag"]), 1, kept)
+
+    def of(row: Column) -> Column:
+        ranked = F.array_sort(F.transform(row["counts"], lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), tag(t["term"]).alias("tag"))))
+        fits = F.filter(F.slice(ranked, 1, most), lambda t: (t["n"] <= -least) & ~F.array_contains(row["tags"], t["tag"]))
+        return F.slice(F.transform(fits, lambda t: t["tag"]), 1, kept)
+
+    # As one element of an array, both are made once for a row; else the optimiser puts them inside the functions over elements.
+    return F.flatten(F.transform(F.array(F.struct(counts.alias("counts"), tags.alias("tags"))), of))
