@@ -61,14 +61,16 @@ def hierarchical(product: Column, title: Column, section: Column, crumbs: Column
     below three tags, the section of at most three words."""
     none = F.array().cast("array<string>")
     start = F.when(F.coalesce(product, F.lit("")) != "", F.array(product)).otherwise(none)
-    own = F.array_distinct(F.concat(start, F.slice(categories(F.concat_ws(" ", title, section)), 1, 3 - F.size(start))))
     names = F.coalesce(crumbs, none)
     inner = F.when(F.size(names) > 3, F.slice(names, 3, F.greatest(F.size(names) - 3, F.lit(0)))).otherwise(none)
     words = lambda t: F.size(F.split(t, "-"))
     inner = F.slice(F.filter(F.transform(inner, tag), lambda t: (t != "") & (words(t) <= 3)), 1, 1)
-    own = F.when(F.size(own) <= 1, F.array_distinct(F.concat(own, inner))).otherwise(own)
     last = tag(F.coalesce(section, F.lit("")))
-    return F.when((F.size(own) < 3) & (last != "") & (words(last) <= 3), F.array_distinct(F.concat(own, F.array(last)))).otherwise(own)
+    first = F.array_distinct(F.concat(start, F.slice(categories(F.concat_ws(" ", title, section)), 1, 3 - F.size(start))))
+    # As one element of an array, the categories are found once for a row, however often they are used.
+    with_inner = lambda r: F.when(F.size(r) <= 1, F.array_distinct(F.concat(r, inner))).otherwise(r)
+    with_last = lambda r: F.when((F.size(r) < 3) & (last != "") & (words(last) <= 3), F.array_distinct(F.concat(r, F.array(last)))).otherwise(r)
+    return F.flatten(F.transform(F.transform(F.array(first), with_inner), with_last))
 
 
 def terms(text: Column) -> Column:
