@@ -12,7 +12,7 @@ from docspark.functions.text import tag
 def counted(words: Column) -> Column:
     """array<struct<term, n, first>> of an array of terms: how often each occurs and where it first does. Runs of the sorted terms are
     counted by their borders."""
-    ordered = F.array_sort(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
+    ordered = F.sort_array(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))))
 
     def runs(s: Column) -> Column:
         places = F.sequence(F.lit(0), F.greatest(F.size(s) - 1, F.lit(0)))
@@ -33,8 +33,9 @@ def top_terms(counts: Column, tags: Column, most: int = 5, least: int = 3, kept:
     already: the tags of the first `kept`."""
 
     def of(row: Column) -> Column:
-        ranked = F.array_sort(F.transform(row["counts"], lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), tag(t["term"]).alias("tag"))))
-        fits = F.filter(F.slice(ranked, 1, most), lambda t: (t["n"] <= -least) & ~F.array_contains(row["tags"], t["tag"]))
+        ranked = F.sort_array(F.transform(row["counts"], lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), t["term"].alias("term"))))
+        best = F.transform(F.slice(ranked, 1, most), lambda t: F.struct(t["n"].alias("n"), tag(t["term"]).alias("tag")))
+        fits = F.filter(best, lambda t: (t["n"] <= -least) & ~F.array_contains(row["tags"], t["tag"]))
         return F.slice(F.transform(fits, lambda t: t["tag"]), 1, kept)
 
     # As one element of an array, both are made once for a row; else the optimiser puts them inside the functions over elements.
