@@ -52,8 +52,9 @@ def technical(text: Column, extra_cli: str = "") -> Column:
 
 def categories(text: Column) -> Column:
     """Categories with a keyword in a text, in the order of CATEGORIES."""
-    low = F.lower(text)
-    return F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), F.lit(k)) for k, words in CATEGORIES.items())))
+    found = lambda low: F.array_compact(F.array(*(F.when(reduce(lambda a, b: a | b, (low.contains(w) for w in words)), F.lit(k)) for k, words in CATEGORIES.items())))
+    # As one element of an array, the text is put in lower case once, not for each keyword.
+    return F.flatten(F.transform(F.array(F.lower(text)), found))
 
 
 def hierarchical(product: Column, title: Column, section: Column, crumbs: Column) -> Column:

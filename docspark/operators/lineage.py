@@ -25,3 +25,10 @@ def cut(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a table just read, dealt over the session's cores if its files give fewer partitions than these, so that work on whole texts
+    isn't one task; a table of more files stays as it is, without a shuffle. Not for rows that come from a shuffle: it would run here."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)

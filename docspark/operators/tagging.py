@@ -33,9 +33,10 @@ def top_terms(counts: Column, tags: Column, most: int = 5, least: int = 3, kept:
     already: the tags of the first `kept`."""
 
     def of(row: Column) -> Column:
-        ranked = F.sort_array(F.transform(row["counts"], lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), t["term"].alias("term"))))
+        often = F.filter(row["counts"], lambda t: t["n"] >= least)
+        ranked = F.sort_array(F.transform(often, lambda t: F.struct((-t["n"]).alias("n"), t["first"].alias("first"), t["term"].alias("term"))))
         best = F.transform(F.slice(ranked, 1, most), lambda t: F.struct(t["n"].alias("n"), tag(t["term"]).alias("tag")))
-        fits = F.filter(best, lambda t: (t["n"] <= -least) & ~F.array_contains(row["tags"], t["tag"]))
+        fits = F.filter(best, lambda t: ~F.array_contains(row["tags"], t["tag"]))
         return F.slice(F.transform(fits, lambda t: t["tag"]), 1, kept)
 
     # As one element of an array, both are made once for a row; else the optimiser puts them inside the functions over elements.

@@ -8,7 +8,7 @@ from docspark.functions import tags as G
 from docspark.functions import text as X
 from docspark.operators import index, links, lint, tagging
 from docspark.plans.pages import _title_sql
-from docspark.plans.registry import query, table
+from docspark.plans.registry import query, table, texts
 
 # ---- tags ----
 
@@ -23,7 +23,7 @@ def _category_sql(text: str) -> str:
 
 @query(f"SELECT doc_id, array_to_string({_category_sql('lower(text)')}, ',') AS categories FROM documents")
 def q_category_tags(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(G.categories(F.col("text")), ",").alias("categories"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.array_join(G.categories(F.col("text")), ",").alias("categories"))
 
 
 _TECHNICAL = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}' END" for k, p in G.TECHNICAL.items())
@@ -31,7 +31,7 @@ _TECHNICAL = ", ".join(f"CASE WHEN regexp_matches(text, '(?i){p}') THEN '{k}' EN
 
 @query(f"SELECT doc_id, array_to_string(list_filter([{_TECHNICAL}], lambda c: c IS NOT NULL), ',') AS found FROM documents")
 def q_technical_patterns(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(G.technical(F.col("text")), ",").alias("found"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.array_join(G.technical(F.col("text")), ",").alias("found"))
 
 
 # Words of ASCII letters only: word borders next to other letters differ between engines.
@@ -43,7 +43,7 @@ c AS (SELECT doc_id, term, count(*) AS n, CAST(min(pos) - 1 AS INT) AS first FRO
 
 
 def _ascii(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "source", "text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]+", "0").alias("ascii"))
+    return texts(spark, sf_dir, "documents").select("doc_id", "source", "text", F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x00-\x7F]+", "0").alias("ascii"))
 
 
 @query(f"WITH {_TERMS} SELECT * FROM c")
@@ -81,7 +81,7 @@ def q_tags_final(spark, sf_dir):
 @query("""SELECT doc_id, '---' || chr(10) || 'tags:' || chr(10) || '- a' || chr(10) || chr(10) || '- b' || chr(10) || '---' || chr(10) || coalesce(text, '') || chr(10) || 'k:' || chr(10) || chr(10) || '- x' AS fixed FROM documents""")
 def q_yaml_fix(spark, sf_dir):
     text = F.concat(F.lit("---\ntags:\n\n- a\n\n- b\n---\n"), F.coalesce("text", F.lit("")), F.lit("\nk:\n\n- x"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
+    return texts(spark, sf_dir, "documents").select("doc_id", X.fix_frontmatter(text).alias("fixed"))
 
 
 # The steps one after the other; step 2 leaves no heading right behind another, so that step 3 may take the next character along.
@@ -94,7 +94,7 @@ for _pattern, _new in ((r"\n{3,}", r"\n\n"), (r"\n(#{1,6} )", r"\n\n\1"), (r"(#{
 @query(f"SELECT doc_id, {_CLEAN} AS fixed FROM documents")
 def q_clean_markdown(spark, sf_dir):
     text = F.concat(F.coalesce("text", F.lit("")), F.lit("\na  \n\n\n\n- b\n3. c\n7. d\n\n"))
-    return table(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
+    return texts(spark, sf_dir, "documents").select("doc_id", X.clean_markdown(text).alias("fixed"))
 
 
 # ---- links ----
@@ -180,7 +180,7 @@ def q_image_refs(spark, sf_dir):
     k = F.concat((F.col("doc_id") % 50).cast("string"), F.lit(".png"))
     t = F.coalesce("text", F.lit(""))
     parts = (t, F.lit(" a ![x](https://i/"), k, F.lit(") ![](//i/"), k, F.lit(") ![[https://i/"), k, F.lit('|alt]] <img src="https://i/'), k, F.lit('"> b ![y](https://i/none.png) ![[//i/'), k, F.lit("|z]] "), t)
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
+    docs = texts(spark, sf_dir, "documents").select("doc_id", F.concat(*parts).alias("text"))
     images = spark.range(50).select(F.concat(F.lit("https://i/"), F.col("id").cast("string"), F.lit(".png")).alias("url"), F.concat(F.lit("images/"), F.col("id").cast("string"), F.lit(".png")).alias("local_path"))
     return links.image_references(docs, images).select("doc_id", "text")
 
@@ -188,7 +188,7 @@ def q_image_refs(spark, sf_dir):
 @query("""SELECT doc_id, 'x ' || coalesce(text, '') || ' [[guides/x-' || doc_id || '|Text]] [[resources/r|R]] [y](http://o/z)' AS text FROM documents""")
 def q_slug_wikilinks(spark, sf_dir):
     text = F.concat(F.lit("x "), F.coalesce("text", F.lit("")), F.lit(" [Text](https://s/p/guides/x-"), F.col("doc_id").cast("string"), F.lit('/) [R](https://s/p/resources/r "t") [y](http://o/z)'))
-    return table(spark, sf_dir, "documents").select("doc_id", X.wikilinks(text, BASE).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", X.wikilinks(text, BASE).alias("text"))
 
 
 @query("""SELECT doc_id, 'x ' || coalesce(text, '') || ' [[Get Started|T]] [[A to Z|u]] [[What is X ' || doc_id || '|A]] [[resources/R Y|B]] [[Q|C]] [[index|H]] [y](http://o/z)' AS text FROM documents""")
@@ -197,7 +197,7 @@ def q_titled_wikilinks(spark, sf_dir):
     n = F.col("doc_id").cast("string")
     bent = F.lit(' [[get-started/ "u"|T]] [[a-to-z/|u]] [A](https://s/p/docs/what-is-x-')
     text = F.concat(F.lit("x "), F.coalesce("text", F.lit("")), bent, n, F.lit('/) [B](https://s/p/resources/r-y "t") [C](https://s/p/q) [H](https://s/p/) [y](http://o/z)'))
-    return table(spark, sf_dir, "documents").select("doc_id", X.titled_wikilinks(text, BASE).alias("text"))
+    return texts(spark, sf_dir, "documents").select("doc_id", X.titled_wikilinks(text, BASE).alias("text"))
 
 
 @query(f"""
@@ -312,7 +312,7 @@ def _synthetic(spark, sf_dir):
         out = F.when(k == 1, F.concat(F.lit("# "), x)).when(k == 2, F.concat(F.lit("  - "), x)).when(k == 3, F.concat(F.lit("3. "), x)).when(k == 4, F.concat(F.lit("> "), x))
         return out.when(k == 5, F.concat(x, F.lit("  "))).when(k == 6, F.lit("")).when(k == 7, F.concat(F.lit("5. "), x)).otherwise(F.concat(x, F.lit(" <b>y</b>")))
 
-    return table(spark, sf_dir, "documents").select("doc_id", F.transform(lint.lines(F.col("text")), put).alias("l"))
+    return texts(spark, sf_dir, "documents").select("doc_id", F.transform(lint.lines(F.col("text")), put).alias("l"))
 
 
 @query(rf"WITH {_LINES} SELECT doc_id, i AS line_number, line AS original, regexp_replace(line, '[ \t\r\f\x0B]+$', '') AS fixed FROM n WHERE regexp_matches(line, '[ \t\r\f\x0B]$')")
@@ -351,7 +351,7 @@ def q_lint_numbered_list_sequence(spark, sf_dir):
 @query("SELECT doc_id, CAST(0 AS INT) AS line_number FROM documents WHERE contains(text || CASE WHEN doc_id % 2 = 0 THEN repeat(chr(10), 3) ELSE chr(10) END || 'x', repeat(chr(10), 3))")
 def q_lint_multiple_blank_lines(spark, sf_dir):
     text = F.concat("text", F.when(F.col("doc_id") % 2 == 0, F.lit("\n\n\n")).otherwise(F.lit("\n")), F.lit("x"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
+    rows = texts(spark, sf_dir, "documents").select("doc_id", text.alias("t"))
     return rows.where(F.regexp_replace("t", r"\n{3,}", "\n\n") != F.col("t")).select("doc_id", F.lit(0).alias("line_number"))
 
 
@@ -383,7 +383,7 @@ def _put(block: str) -> str:
 def _rule(name: str):
     def run(spark, sf_dir):
         before, after = _RULES[name][0].split("{}")
-        docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after), F.coalesce("text", F.lit(""))).alias("text"))
+        docs = texts(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit(before), F.col("doc_id").cast("string"), F.lit(after), F.coalesce("text", F.lit(""))).alias("text"))
         linted = lint.lint(docs, "doc_id", passes=(getattr(lint, name),))
         return linted.where(F.exists("issues", lambda i: i["issue_type"] == name)).select("doc_id", "fixed")
 

@@ -12,7 +12,7 @@ from docspark.functions import text as X
 from docspark.functions import url as U
 from docspark.operators import control, extract, index, links, lint, state, tagging
 from docspark.operators.lineage import cut
-from docspark.plans.registry import query, table
+from docspark.plans.registry import query, table, texts
 from docspark.sources import sitemap, vault
 
 
@@ -87,13 +87,13 @@ def linted_vault(pages: DataFrame, base: str, variable: str = "__STATE__") -> Da
 
 @query()
 def q_flow_vault(spark, sf_dir):
-    return linted_vault(table(spark, sf_dir, "pages"), "https://m.").select("page_id", "file_path", "text", F.size("issues").alias("n_issues"))
+    return linted_vault(texts(spark, sf_dir, "pages"), "https://m.").select("page_id", "file_path", "text", F.size("issues").alias("n_issues"))
 
 
 @query("SELECT count(*) AS pages, count(*) AS files FROM pages")
 def q_flow_files(spark, sf_dir):
     """Every page gets a file of its own, unless its text is the same as the first one's of that name."""
-    rows = markdown_pages(table(spark, sf_dir, "pages"))
+    rows = markdown_pages(texts(spark, sf_dir, "pages"))
     return rows.agg(F.count("*").alias("pages"), F.countDistinct("file_path").alias("files"))
 
 

@@ -13,7 +13,7 @@ from docspark.operators.lineage import shared_folder
 from docspark.plans import flows
 from docspark.plans.corpus import _VAULT, BASE, _vault
 from docspark.plans.crawl import _EV, _events, _images, _pages
-from docspark.plans.registry import query, table
+from docspark.plans.registry import query, table, texts
 from docspark.sources import store
 
 
@@ -121,7 +121,7 @@ SELECT doc_id, '--- before' || chr(10) || '+++ after' || chr(10) || '@@ -' || le
 def q_diff_preview(spark, sf_dir):
     """Whole texts against themselves with one line more; line ends of other kinds count as blanks."""
     text = F.concat(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\r\x0B\x0C\x1C-\x1E\x85\x{2028}\x{2029}]", " "), F.lit("."))
-    return table(spark, sf_dir, "documents").select("doc_id", diff.preview(text, F.concat(text, F.lit("\n"), F.col("doc_id").cast("string"))).alias("preview"))
+    return texts(spark, sf_dir, "documents").select("doc_id", diff.preview(text, F.concat(text, F.lit("\n"), F.col("doc_id").cast("string"))).alias("preview"))
 
 
 @query("""SELECT page_id, regexp_extract(url, '^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)', 1) AS host, 'a-b' AS tag, least(pow(2.0, page_id % 5), 10.0) AS wait FROM pages""")

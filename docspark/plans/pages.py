@@ -9,7 +9,7 @@ from docspark.functions import path as P
 from docspark.functions import text as X
 from docspark.functions import url as U
 from docspark.operators import extract
-from docspark.plans.registry import query, table
+from docspark.plans.registry import query, table, texts
 from docspark.sources import sitemap, vault
 
 ROOT, BASE = "https://", "https://m."
@@ -217,7 +217,7 @@ _ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '
 
 @query("SELECT page_id, trim(" + _ENTITIES.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ") AS title FROM pages")
 def q_title(spark, sf_dir):
-    return extract.pages(table(spark, sf_dir, "pages")).select("page_id", "title")
+    return extract.pages(texts(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @query(f"""
@@ -225,7 +225,7 @@ WITH l AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, unnest(h) AS hre
 SELECT page_id, count(DISTINCT {_absolute_sql(_ENTITIES.format('href'))}) AS n FROM l GROUP BY page_id
 """)
 def q_nav_links(spark, sf_dir):
-    rows = extract.pages(table(spark, sf_dir, "pages")).select("page_id", F.explode("navigation").alias("link"))
+    rows = extract.pages(texts(spark, sf_dir, "pages")).select("page_id", F.explode("navigation").alias("link"))
     return rows.groupBy("page_id").agg(F.countDistinct("link").alias("n"))
 
 
@@ -236,12 +236,12 @@ def q_text_strip(spark, sf_dir):
 
 @query()
 def q_html_to_markdown(spark, sf_dir):
-    return extract.pages(table(spark, sf_dir, "pages")).select("page_id", "markdown")
+    return extract.pages(texts(spark, sf_dir, "pages")).select("page_id", "markdown")
 
 
 @query()
 def q_clean_content(spark, sf_dir):
-    return extract.pages(table(spark, sf_dir, "pages")).select("page_id", "content_text", "images", "emphasis", F.size("links").alias("n_links"))
+    return extract.pages(texts(spark, sf_dir, "pages")).select("page_id", "content_text", "images", "emphasis", F.size("links").alias("n_links"))
 
 
 @query("SELECT page_id, length(html) >= 1000 AS fits FROM pages")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from docspark.operators.lineage import spread
+
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -22,3 +24,8 @@ def query(sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def texts(spark, sf_dir: str, name: str):
+    """The same for work on whole texts or HTML: a table of fewer partitions than cores is dealt over these."""
+    return spread(table(spark, sf_dir, name))
