@@ -6,14 +6,20 @@ import public_tokenizers
 
 from docspark.llm import decontam, licenses, merkle, near_dedup, piece, quality, records, token_counts, toxicity, url_filter
 from docspark.llm.common import table
+from docspark.operators.lineage import spread
+
+
+def texts(spark, sf_dir):
+    """The documents for operators in Python: dealt over the cores where their files give fewer partitions than these."""
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def op2_minhash_near_dedup(spark, sf_dir):
-    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+    return near_dedup.near_duplicates(texts(spark, sf_dir))
 
 
 def op1_toxicity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return toxicity.score(docs, toxicity.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
@@ -22,11 +28,11 @@ def op3_benchmark_decontamination(spark, sf_dir):
 
 
 def op4_license_scans(spark, sf_dir):
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(texts(spark, sf_dir))
 
 
 def op5_token_counts(spark, sf_dir):
-    return token_counts.counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.counts(texts(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_token_records(spark, sf_dir):
@@ -38,7 +44,7 @@ def op7_document_fingerprints(spark, sf_dir):
 
 
 def op8_sentencepiece(spark, sf_dir):
-    return piece.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return piece.digests(texts(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def op9_url_filters(spark, sf_dir):
@@ -46,7 +52,7 @@ def op9_url_filters(spark, sf_dir):
 
 
 def op10_quality_classifier(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = texts(spark, sf_dir)
     return quality.score(docs, quality.fit_on(docs, table(spark, sf_dir, "labels")))
 
 
