@@ -115,3 +115,13 @@ def initial_state(html: Column, variable: str, comments: bool = True) -> Column:
     raw = F.regexp_extract(html, r"(?s)window\." + quoted(variable) + r"\s*=\s*" + tolerated + r"(\{.*?\});", 1)
     raw = F.regexp_replace(raw, r"(?s)/\*.*?\*/", "") if comments else raw
     return F.when((raw != "") & F.try_parse_json(raw).isNotNull(), raw)
+
+
+def iso_stamp(at: Column) -> Column:
+    """A time in the session's zone as ISO text with microseconds."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def file_stamp(at: Column) -> Column:
+    """A time in the session's zone as part of a file's name."""
+    return F.date_format(at, "yyyy-MM-dd_HH-mm-ss")

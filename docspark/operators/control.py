@@ -57,3 +57,35 @@ def token_bucket(events: DataFrame, key: str, rate: float, burst: float) -> Data
 
     ordered = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "seq"))).alias("e"))
     return ordered.select(key, F.aggregate("e", start, take).alias("s")).select(key, F.col("s.n").alias("waits"), F.round("s.waited", 6).alias("waited"))
+
+
+def until_stopped(events: DataFrame, key: str, order: str, failed: Column, most: int = 20) -> DataFrame:
+    """The events of each key up to the one that makes `most` failures in a row; all of a key that never comes so far."""
+    runs = failure_runs(events, key, order, failed)
+    stops = runs.where(F.col("run") >= most).groupBy(key).agg(F.min(order).alias("_stop"))
+    return runs.join(stops, key, "left").where(F.col("_stop").isNull() | (F.col(order) <= F.col("_stop"))).drop("_stop", "run")
+
+
+def within_limits(rows: DataFrame, at: str, started: Column, minutes: int, pages: int, depth: int) -> DataFrame:
+    """What a run takes before a limit ends it: rows of up to `depth`, within `minutes` of its start, the first `pages` of them."""
+    rows = rows.where((F.col("crawl_depth") <= depth) & (F.timestamp_diff("SECOND", started, F.col(at)) < 60 * minutes))
+    return rows.orderBy(at, "url").limit(pages)
+
+
+def recent(events: DataFrame, key: str, order: str, kept: int = 100, told: int = 10) -> DataFrame:
+    """A ring of each key's last `kept` events, with `age` from 1 for the latest, and whether it is among the last `told`."""
+    ranked = events.withColumn("age", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("age") <= kept)
+    return ranked.withColumn("told", F.col("age") <= told)
+
+
+def health(probes: DataFrame, workers: Column) -> DataFrame:
+    """probes(disk_free_gb, disk_used, memory_free_gb, memory_used, cpu_used) with disk_ok, memory_ok, cpu_ok, and the workers to go on
+    with: half of them, one at least, where memory is short."""
+    out = probes.withColumns({"disk_ok": (F.col("disk_free_gb") > 1) & (F.col("disk_used") < 90), "memory_ok": (F.col("memory_free_gb") > 0.5) & (F.col("memory_used") < 85), "cpu_ok": F.col("cpu_used") < 90})
+    return out.withColumn("workers", F.when(F.col("memory_ok"), workers).otherwise(F.greatest(F.lit(1), F.floor(workers / 2).cast("int"))))
+
+
+def roll_up(checked: DataFrame) -> DataFrame:
+    """One row: probes, whether all checks of all hold, and whether any check of any fails. Null without probes."""
+    every = F.col("disk_ok") & F.col("memory_ok") & F.col("cpu_ok")
+    return checked.agg(F.count("*").alias("probes"), F.every(every).alias("healthy"), F.some(~every).alias("any_problem"), F.count_if(every).alias("well"))

@@ -278,3 +278,13 @@ def topic_titles(state: Column) -> Column:
     """Title of an embedded state's JSON text, by the same order as title_of."""
     got = lambda p: F.nullif(F.try_variant_get(F.try_parse_json(state), p, "string"), F.lit(""))
     return F.coalesce(got("$.title"), got("$.topicTitle"), got("$.entry.topicTitle"), got("$.entry.title"), *(got(f"$.{h}.{k}") for h in ("topic", "page", "content") for k in ("title", "topicTitle")))
+
+
+def image_urls(pages: DataFrame) -> DataFrame:
+    """pages of SCHEMA -> url, pages: each image once, and how many pages show it."""
+    return pages.select(F.explode("images").alias("url")).groupBy("url").agg(F.count("*").alias("pages"))
+
+
+def hierarchy_counts(nodes: DataFrame, key: str) -> DataFrame:
+    """Nodes of each hierarchy, and how many of them are mapped to pages."""
+    return nodes.groupBy(key).agg(F.count("*").alias("nodes"), F.count_if("mapped").alias("mapped"))

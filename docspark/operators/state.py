@@ -124,3 +124,19 @@ def finished_run(runs: DataFrame, run_id: int, statistics: DataFrame, now: Colum
     one = statistics.select(*(F.coalesce(F.col(c), F.lit(0)).cast("long").alias(f"_{c}") for c in names))
     own = F.col("id") == run_id
     return runs.join(F.broadcast(one), F.lit(True)).withColumns({c: F.when(own, F.col(f"_{c}")).otherwise(F.col(c)) for c in names} | {"completed_at": F.when(own, now).otherwise(F.col("completed_at"))}).select(runs.columns)
+
+
+def statistics_table(pages: DataFrame, images: DataFrame) -> DataFrame:
+    """Rows (part, name, n) of both statistics, to be shown one below the other."""
+    long = lambda rows, part: rows.unpivot([], rows.columns, "name", "n").select(F.lit(part).alias("part"), "name", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    return long(page_statistics(pages), "pages").union(long(image_statistics(images), "images"))
+
+
+def mapped(pages: DataFrame) -> DataFrame:
+    """url, title, file_path of pages that have a file: what links are resolved with."""
+    return pages.where(F.col("file_path").isNotNull()).select("url", "title", "file_path")
+
+
+def discovered_urls(urls: DataFrame) -> DataFrame:
+    """Each URL once, sorted."""
+    return urls.select("url").distinct().orderBy("url")

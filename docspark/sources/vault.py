@@ -47,3 +47,8 @@ def write_files(rows: DataFrame, root: str, path: str = "path", content: str = "
             yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(sizes, pa.int64())], ["path", "bytes"])
 
     return rows.where(~escapes(F.col(path))).select(F.col(path).alias("path"), F.col(content).cast("binary").alias("content")).mapInArrow(run, "path string, bytes long")
+
+
+def file_counts(rows: DataFrame, before: str, after: str) -> DataFrame:
+    """One row: files, and how many of them a pass changed."""
+    return rows.agg(F.count("*").alias("files"), F.count_if(~F.col(before).eqNullSafe(F.col(after))).alias("fixed"))
