@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import tempfile
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="docspark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir. Only local masters, as in tests, may go without that setting."""
+    """The folder of spark.checkpoint.dir. Only local masters, as in tests, may go without that setting: they have one folder for as long as
+    the program runs, as a running session's setting can't be changed."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="docspark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return _own_folder()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -1,8 +1,11 @@
+from types import SimpleNamespace
+
+import pytest
 from pyspark.sql import functions as F
 
 from docspark.functions import tags
 from docspark.functions import text as textf
-from docspark.operators import control, extract, index, links, lint, state, tagging
+from docspark.operators import control, extract, index, lineage, links, lint, state, tagging
 from docspark.sources import sitemap, store, vault
 from docspark.streaming import frontier
 
@@ -233,3 +236,31 @@ def test_sources_and_sinks(spark, tmp_path):
     import yaml
 
     assert yaml.safe_load(front.strip("-")) == {"url": "https://h", "n": "a: 'b'", "tags": ["x"]}
+
+
+def test_shared_folder_without_setting():
+    of = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master=master))
+    assert lineage.shared_folder(of("local[2]")) == lineage.shared_folder(of("local[8]"))
+    with pytest.raises(ValueError, match="share"):
+        lineage.shared_folder(of("spark://h:1"))
+
+
+def test_spread_keeps_rows_and_leaves_many_partitions(spark):
+    few, many = spark.range(100).coalesce(1), spark.range(0, 100, 1, 64)
+    assert rows(lineage.spread(few)) == rows(few) and lineage.spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert lineage.spread(many) is many
+
+
+def test_ring_and_stop(spark):
+    events = spark.createDataFrame([("a", n, n % 4 != 0) for n in range(1, 13)] + [("b", 1, True), ("b", 2, False)], "k string, n long, bad boolean")
+    kept = control.until_stopped(events, "k", "n", F.col("bad"), 3)
+    assert rows(kept.select("k", "n")) == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2)]
+    ring = control.recent(events, "k", "n", 3, 2)
+    assert rows(ring.select("k", "n", "age", "told")) == [("a", 10, 3, False), ("a", 11, 2, True), ("a", 12, 1, True), ("b", 1, 2, True), ("b", 2, 1, True)]
+
+
+def test_health_of_no_probes(spark):
+    none = spark.createDataFrame([], "disk_free_gb double, disk_used int, memory_free_gb double, memory_used int, cpu_used int")
+    assert rows(control.roll_up(control.health(none, F.lit(4)))) == [(0, None, None, 0)]
+    short = spark.createDataFrame([(5.0, 10, 0.2, 10, 10)], none.schema)
+    assert rows(control.health(short, F.lit(1)).select("memory_ok", "workers")) == [(False, 1)]
