@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docspark.operators.lineage import shared_folder
+
 #: Most rows in an Arrow batch. Documents may be very long, so that Spark's 10,000 could need gigabytes.
 ARROW_ROWS = 1000
 
@@ -25,21 +26,9 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only local masters, as in tests, may go without spark.checkpoint.dir."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="docspark-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
 def new_path(spark: SparkSession, tag: str) -> str:
     """A fresh path in the shared folder; it goes when the driver ends."""
-    path = f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     atexit.register(drop_path, spark, path)
     return path
 
