@@ -78,6 +78,16 @@ def retry_flow(pages: DataFrame, outcomes: DataFrame, max_retries: int = 3) -> D
     return rows.withColumns(changes).select(*pages.columns, "waited")
 
 
+def write_vault(rows: DataFrame, root: str) -> DataFrame:
+    """Writes file_path and text of a vault's pages below root and the index beside them; pages with one path have one text and are written
+    once. -> path, bytes of the pages' files."""
+    once = rows.groupBy("file_path").agg(F.min("text").alias("text"))
+    written = cut(vault.write_files(once, root, "file_path"))
+    listing = index.index_document(rows.select(F.lit("completed").alias("status"), "file_path", "title")).select(F.lit("index.md").alias("path"), "text")
+    vault.write_files(listing, root).count()
+    return written
+
+
 def linted_vault(pages: DataFrame, base: str, variable: str = "__STATE__") -> DataFrame:
     """page_id, url, title, file_path, text, issues of the finished vault."""
     rows = cut(linked(cut(markdown_pages(pages, variable)), base))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from docspark.functions import tags
 from docspark.functions import text as textf
 from docspark.operators import control, extract, index, lineage, links, lint, state, tagging
+from docspark.plans import flows
 from docspark.sources import sitemap, store, vault
 from docspark.streaming import frontier
 
@@ -264,3 +265,11 @@ def test_health_of_no_probes(spark):
     assert rows(control.roll_up(control.health(none, F.lit(4)))) == [(0, None, None, 0)]
     short = spark.createDataFrame([(5.0, 10, 0.2, 10, 10)], none.schema)
     assert rows(control.health(short, F.lit(1)).select("memory_ok", "workers")) == [(False, 1)]
+
+
+def test_vault_is_written_with_its_index(spark, tmp_path):
+    pages = spark.createDataFrame([("docs/A/x.md", "X", "one"), ("docs/A/x.md", "X", "one"), ("docs/y.md", "Y", "two")], "file_path string, title string, text string")
+    assert rows(flows.write_vault(pages, f"file://{tmp_path}")) == [("docs/A/x.md", 3), ("docs/y.md", 3)]
+    read = {r.path.rpartition(str(tmp_path))[2]: r.text for r in sitemap.read_markdown(spark, f"file://{tmp_path}").collect()}
+    assert read.keys() == {"/docs/A/x.md", "/docs/y.md", "/index.md"} and read["/docs/A/x.md"] == "one"
+    assert "- [[docs/y|Y]]" in read["/index.md"] and not [f for f in tmp_path.rglob("*.tmp")]
