@@ -94,15 +94,19 @@ def word_groups(x: np.ndarray, y: np.ndarray, count: int) -> list[np.ndarray]:
 
 
 def best_threshold(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut between two neighbouring probabilities with the best F1; of equals the one in the widest gap. Without toxic rows 1,
-    which no probability reaches; with toxic ones alone 0.5."""
+    """The cut between two neighbouring probabilities with the best F1, of those above which half of the rows are toxic at least; of
+    equals the one in the widest gap. Without such a cut, as where too few rows tell anything, and without toxic rows 1, which no
+    probability reaches; with toxic ones alone 0.5."""
     if not 0 < y.sum() < len(y):
         return 0.5 if y.sum() else 1.0
     order = np.argsort(-p, kind="stable")
     p, hits = p[order], np.cumsum(y[order])
     f1 = 2 * hits / (np.arange(1, len(p) + 1) + y.sum())
     gap = p - np.append(p[1:], 0.0)
-    best = max(range(len(p)), key=lambda i: (gap[i] > 0, round(float(f1[i]), 9), gap[i]))
+    fits = (gap > 0) & (2 * hits >= np.arange(1, len(p) + 1))
+    if not fits.any():
+        return 1.0
+    best = max(np.flatnonzero(fits), key=lambda i: (round(float(f1[i]), 9), gap[i]))
     return float(p[best] - gap[best] / 2)
 
 

@@ -169,3 +169,14 @@ def test_lasso_leaves_noise_out():
     x = rng.random((800, 12)) < 0.5
     w, b = fit_logistic(x, (x[:, 0] & x[:, 1]).astype(float), 0.02)
     assert w[0] > 0.5 and w[1] > 0.5 and np.abs(w[2:]).max() < 0.2 and 0 < sigmoid(np.array([b]))[0] < 0.5
+
+
+def test_threshold_that_says_nothing_takes_nothing():
+    import numpy as np
+
+    from docspark.llm.toxicity import best_threshold
+
+    y = np.array([1.0] + [0.0] * 9)
+    assert best_threshold(np.full(10, 0.1), y) == 1.0
+    assert best_threshold(np.linspace(0.1, 0.9, 10), y) == 1.0
+    assert 0.2 < best_threshold(np.array([0.9] + [0.2] * 9), y) < 0.9
