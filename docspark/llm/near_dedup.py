@@ -231,17 +231,20 @@ def close_pairs(group: list[np.ndarray], percent: int):
 
 
 def settle(found: list[list[np.ndarray]], percent: int) -> pa.RecordBatch:
-    """Links among close pairs whose sets are at hand, and the likely ones of the others."""
-    us, vs, sure, seen = [], [], [], set()
-    for ia, ib, na, nb, ka, kb, sa, sb in found:
-        good = likely(ka, kb, na.astype(float), nb.astype(float), percent)
-        for u, v, a, b in zip(np.maximum(ia, ib)[good].tolist(), np.minimum(ia, ib)[good].tolist(), sa[good], sb[good], strict=True):
-            if (u, v) in seen:
-                continue
-            seen.add((u, v))
+    """Links among close pairs whose sets are at hand, and the likely ones of the others. A pair that several buckets found is compared once."""
+    us, vs, sure = [], [], []
+    if found:
+        ia, ib, na, nb, ka, kb, sa, sb = (np.concatenate(x) for x in zip(*found, strict=True))
+        u, v = np.maximum(ia, ib), np.minimum(ia, ib)
+        order = np.lexsort((v, u))
+        again = (np.diff(u[order], prepend=-1) == 0) & (np.diff(v[order], prepend=-1) == 0)
+        again[0] = False
+        once = order[~again]
+        once = once[likely(ka[once], kb[once], na[once].astype(float), nb[once].astype(float), percent)]
+        for x, y, a, b in zip(u[once].tolist(), v[once].tolist(), sa[once], sb[once], strict=True):
             if a is None or b is None or is_link(a, b, percent):
-                us.append(u)
-                vs.append(v)
+                us.append(x)
+                vs.append(y)
                 sure.append(a is not None and b is not None)
     return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(sure, pa.bool_())], ["u", "v", "sure"])
 

@@ -2,7 +2,9 @@ import random
 import re
 
 import numpy as np
+import pytest
 
+from docspark.llm import components as C
 from docspark.llm import near_dedup as N
 from docspark.llm.components import components
 from docspark.llm.common import Scratch, shingle_hashes
@@ -99,6 +101,48 @@ def test_components(spark):
     assert components(edges.limit(0), Scratch(spark, "t"), "c").count() == 0
 
 
+@pytest.mark.parametrize("solved, tables", [(1_000_000, 1), (0, None), (150, None)])
+def test_components_in_one_task_and_by_stars(spark, monkeypatch, solved, tables):
+    """Few edges take one table however long the chains; more go by stars, to the end or until few are left."""
+    monkeypatch.setattr(C, "SOLVED", solved, raising=False)
+    kept = []
+
+    class Counted(Scratch):
+        def keep(self, df, name):
+            kept.append(name)
+            return super().keep(df, name)
+
+    rng = random.Random(3)
+    edges = [(rng.randrange(200), rng.randrange(200, 400)) for _ in range(150)] + [(k + 1, k) for k in range(1000, 1040)] * 2 + [(2**60, -5)]
+    up = {x: x for e in edges for x in e}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for u, v in edges:
+        a, b = root(u), root(v)
+        up[max(a, b)] = min(a, b)
+    got = sorted(map(tuple, components(spark.createDataFrame(edges, "u long, v long"), Counted(spark, "t"), "c").collect()))
+    assert got == sorted((x, root(x)) for x in up)
+    assert tables is None or len(kept) == tables
+
+
+def test_a_pair_of_many_buckets_is_compared_once(monkeypatch):
+    hashes, starts = shingle_hashes([b" ".join(b"w%d" % i for i in range(k, k + 100)) for k in (0, 4, 90)])
+    (a, b, c), sets, tried = N.sketches(hashes, starts), [np.unique(hashes[x:y]).tobytes() for x, y in zip(starts[:-1], starts[1:])], []
+    monkeypatch.setattr(N, "likely", lambda ka, *rest, own=N.likely: tried.append(len(ka)) or own(ka, *rest))
+
+    def chunk(*pairs):
+        return [np.array([p[k] for p in pairs], object if k > 5 else None) for k in range(8)]
+
+    ab, ba, ac = (1, 2, 96, 96, a, b, sets[0], sets[1]), (2, 1, 96, 96, b, a, sets[1], sets[0]), (1, 3, 96, 96, a, c, sets[0], None)
+    got = N.settle([chunk(ab), chunk(ab, ac), chunk(ba)] * 20, 75)
+    assert list(zip(*got.to_pydict().values())) == [(2, 1, True)] and tried == [2]
+    assert N.settle([], 75).num_rows == 0
+
+
 def test_each_text_of_an_id_links(spark):
     a, b, c = (" ".join(f"{k}{i}" for i in range(60)) for k in "abc")
     rows = [(4, a + " more"), (4, b), (2, a), (3, b + " x"), (9, "other words here entirely now"), (9, ""), (12, c), (12, a), (11, c + " y"), (10, "q r s t u v")]
