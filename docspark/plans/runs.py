@@ -34,7 +34,8 @@ def q_sitemap_first_source(spark, sf_dir):
     maps = p.groupBy("map", "rank").agg(F.array_join(F.collect_list(F.when((F.col("rank") == 2) | ((F.col("rank") == 1) & (F.col("map") < 5)), entry)), "").alias("xml"))
     found = maps.select("map", "rank", F.explode(sitemap.locations(F.col("xml"))).alias("url"))
     best = found.groupBy("map").agg(F.min("rank").alias("rank"))
-    return found.join(best, ["map", "rank"]).join(p.select("page_id", "url"), "url").select("map", "page_id", "url")
+    # Pages may share a URL: those of the map and sitemap that tell it count, each once.
+    return p.join(found.join(best, ["map", "rank"]), ["map", "rank", "url"], "left_semi").select("map", "page_id", "url")
 
 
 # ---- limits, stops, health ----
