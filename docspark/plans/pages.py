@@ -260,7 +260,9 @@ def q_sitemap_parse(spark, sf_dir):
     maps = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 10).alias("map")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", entry.alias("e")))), lambda s: s["e"]), "").alias("e"))
     xml = F.concat(F.lit('<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.col("e"), F.lit("</urlset>"))
     found = maps.select("map", xml.alias("xml")).where(sitemap.is_xml(F.col("xml"))).select("map", F.explode(sitemap.entries(F.col("xml"))).alias("url"))
-    return found.join(table(spark, sf_dir, "pages").select("page_id", "url"), "url").groupBy("map").agg(F.count("*").alias("n"), F.min("page_id").alias("first"))
+    # Pages may share a URL, within a map and over maps: one row for each map and URL, so that a location is counted once.
+    own = table(spark, sf_dir, "pages").groupBy((F.col("page_id") % 10).alias("map"), "url").agg(F.min("page_id").alias("first"))
+    return found.join(own, ["map", "url"]).groupBy("map").agg(F.count("*").alias("n"), F.min("first").alias("first"))
 
 
 def _state():

@@ -9,7 +9,7 @@ import __spark_entry__
 URLS = {k: f"https://m.example.net/p{k}" for k in range(40)} | dict.fromkeys((10, 11, 13, 20, 40), "https://m.example.net/same")
 
 
-@pytest.mark.parametrize("name", ["q_sitemap_first_source"])
+@pytest.mark.parametrize("name", ["q_sitemap_first_source", "q_sitemap_parse"])
 def test_sitemaps(spark, tmp_path, name):
     spark.createDataFrame(list(URLS.items()), "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = __spark_entry__.queries()[name](spark, str(tmp_path))
