@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docspark.operators.batches import map_texts, parts
+
 ISSUE = "array<struct<line_number:int,issue_type:string,description:string,original:string,fixed:string>>"
 _ISSUE = pa.list_(pa.struct([("line_number", pa.int32()), ("issue_type", pa.string()), ("description", pa.string()), ("original", pa.string()), ("fixed", pa.string())]))
 #: HTML that has a Markdown form.
@@ -208,23 +210,28 @@ def lint_text(text: str | None, passes=PASSES) -> tuple[str, list[Issue]]:
     return text, found
 
 
-def lint(docs: DataFrame, key: str, text: str = "text", passes=PASSES, auto_fix: bool = True) -> DataFrame:
-    """docs -> key, fixed, changed, issues. Null counts as empty text. Without auto_fix the texts stay and issues are only told."""
+def _lint_batches(key: str, passes, auto_fix: bool):
     names = [key, "fixed", "changed", "issues"]
 
     def run(batches):
-        for batch in batches:
+        for part in parts(batches, "_text"):
             fixed, issues, changed = [], [], []
-            for t in batch.column("_text").to_pylist():
+            for t in part.column("_text").to_pylist():
                 new, found = lint_text(t, passes)
                 new = new if auto_fix else t or ""
                 fixed.append(new)
                 changed.append(new != (t or ""))
                 issues.append([dict(zip(("line_number", "issue_type", "description", "original", "fixed"), x, strict=True)) for x in found])
-            yield pa.RecordBatch.from_arrays([batch.column(key), pa.array(fixed, pa.string()), pa.array(changed, pa.bool_()), pa.array(issues, _ISSUE)], names)
+            yield pa.RecordBatch.from_arrays([part.column(key), pa.array(fixed, pa.string()), pa.array(changed, pa.bool_()), pa.array(issues, _ISSUE)], names)
+
+    return run
 
+
+def lint(docs: DataFrame, key: str, text: str = "text", passes=PASSES, auto_fix: bool = True) -> DataFrame:
+    """docs -> key, fixed, changed, issues. Null counts as empty text. Without auto_fix the texts stay and issues are only told."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, F.col(text).alias("_text")).mapInArrow(run, f"{key} {kind}, fixed string, changed boolean, issues {ISSUE}")
+    rows = docs.select(key, F.col(text).cast("string").alias("_text"))
+    return map_texts(rows, _lint_batches(key, passes, auto_fix), f"{key} {kind}, fixed string, changed boolean, issues {ISSUE}")
 
 
 def issues(linted: DataFrame, key: str) -> DataFrame:

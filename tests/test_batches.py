@@ -2,7 +2,7 @@
 
 import pyarrow as pa
 
-from docspark.operators import batches, extract
+from docspark.operators import batches, extract, lint
 
 TEXT = "<main><h1>T</h1><p>" + "x" * 1000 + "</p></main>"
 
@@ -33,3 +33,13 @@ def test_rows_sent(spark):
             assert spark.conf.get(key) == left
     finally:
         spark.conf.set(key, before)
+
+
+def test_lint_in_parts():
+    n = 5000
+    text = "# a\nb  \n" * 100
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "_text": [text] * n})
+    made = list(lint._lint_batches("doc_id", (lint.trailing_whitespace,), True)(iter([batch])))
+    assert max(b.num_rows for b in made) * len(text) <= batches.PART_BYTES
+    assert [i for b in made for i in b.column("doc_id").to_pylist()] == list(range(n))
+    assert all(len(x) == 100 for b in made for x in b.column("issues").to_pylist())
