@@ -133,7 +133,7 @@ def q_stamps(spark, sf_dir):
 
 @query("SELECT page_id, trim(" + _ENTITIES.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ") AS title FROM pages")
 def q_page_title(spark, sf_dir):
-    return extract.pages(texts(spark, sf_dir, "pages")).select("page_id", F.col("page_title").alias("title"))
+    return extract.titles(texts(spark, sf_dir, "pages")).select("page_id", F.col("page_title").alias("title"))
 
 
 def _with_main(spark, sf_dir):
