@@ -217,7 +217,7 @@ _ENTITIES = "replace(replace(replace(replace(replace({}, '&lt;', '<'), '&gt;', '
 
 @query("SELECT page_id, trim(" + _ENTITIES.format("regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)") + ") AS title FROM pages")
 def q_title(spark, sf_dir):
-    return extract.pages(texts(spark, sf_dir, "pages")).select("page_id", "title")
+    return extract.titles(texts(spark, sf_dir, "pages")).select("page_id", "title")
 
 
 @query(f"""

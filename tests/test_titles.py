@@ -9,7 +9,7 @@ from docspark.functions import dom
 HEADS = ["a &amp; b", "a&amp;&amp;&amp", "x &lt y &#x27 z", " &quot;q&quot; &lt;b&gt; &#x27;", "Q&A &copy", "&", "&am", "&amp;amp"]
 
 
-@pytest.mark.parametrize("name", ["q_page_title"])
+@pytest.mark.parametrize("name", ["q_title", "q_page_title"])
 def test_titles(spark, tmp_path, name):
     pages = [(k, f"<html><title>t</title><h1>{h}</h1><p>&lt</p></html>") for k, h in enumerate(HEADS)]
     spark.createDataFrame(pages, "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
